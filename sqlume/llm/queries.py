@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlume.llm import decontam, embeddings, packing, secrets, sharding, simhash, tokencount, toxicity
+from sqlume.llm import decontam, embeddings, packing, secrets, sharding, simhash, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_tokencount, op4_simhash, op6_decontam, op8_embeddings, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_tokencount, op4_simhash, op6_decontam, op7_warc, op8_embeddings, op9_toxicity, op10_packing)}
 
 ORACLES: dict[str, str] = {"op2_sharding": sharding.oracle("doc_id", "documents")}
