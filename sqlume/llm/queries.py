@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlume.llm import decontam, embeddings, packing, secrets, sharding, simhash, tokencount, toxicity, warc
+from sqlume.llm import decontam, embeddings, extract, packing, secrets, sharding, simhash, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_tokencount, op4_simhash, op6_decontam, op7_warc, op8_embeddings, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_tokencount, op4_simhash, op5_extract, op6_decontam, op7_warc, op8_embeddings, op9_toxicity, op10_packing)}
 
 ORACLES: dict[str, str] = {"op2_sharding": sharding.oracle("doc_id", "documents")}
