@@ -13,9 +13,10 @@ for each block, so no size of benchmark overfills an executor and documents are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -72,6 +73,16 @@ class SeedIndex:
             h ^= h >> np.uint64(29)
         return h
 
+    def codes(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts laid end to end as numbers (0 where no item has the word), and where each text starts."""
+        get, words, starts, n = self.vocab.get, [np.empty(0, np.int32)], [], 0
+        for t in texts:
+            own = [get(w, 0) for w in words_of(t)]
+            starts.append(n)
+            words.append(np.array(own, np.int32))
+            n += len(own)
+        return np.concatenate(words), np.array(starts, np.int64)
+
     def overlaps(self, words: np.ndarray, starts: np.ndarray, min_words: int, min_share: float) -> list[tuple[int, int, int, int, int]]:
         """Of documents laid end to end: (document, item, start, words, agreeing words), the best stretch of each pair."""
         values = self.value[words]
@@ -152,17 +163,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     def scan(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix: SeedIndex = index.value
-            vocab = ix.vocab
             for b in batches:
                 for at in range(0, b.num_rows, _ROWS):
                     part = b.slice(at, _ROWS)
-                    words, starts, n = [], [], 0
-                    for t in part.column(1):
-                        starts.append(n)
-                        own = [vocab.get(w, 0) for w in words_of(t.as_py())]
-                        words.append(np.array(own, np.int32))
-                        n += len(own)
-                    got = ix.overlaps(np.concatenate(words), np.array(starts), min_words, min_share)
+                    words, starts = ix.codes(t.as_py() for t in part.column(1))
+                    got = ix.overlaps(words, starts, min_words, min_share)
                     ids = part.column(0).to_pylist()
                     rows = [(ids[d], ix.ids[k], s, m, a, a / m) for d, k, s, m, a in got]
                     yield pa.RecordBatch.from_arrays(
@@ -178,7 +183,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     return out if out is not None else src.where("false").selectExpr("doc_id", "doc_id as item_id", "doc_id as doc_start", "doc_id as n_words", "doc_id as n_agree", "0d as share")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that overlap with no item, with all their columns; those with a null id stay."""
-    found = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block_words: int = BLOCK_WORDS,
+          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that overlap with no item, with all their columns; a map over the documents, without a shuffle.
+
+    Null and empty texts stay; so does everything where the benchmark is empty. Repeated rows are judged alike.
+    """
+
+    def hit(index):
+        @F.pandas_udf("boolean")
+        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ix: SeedIndex = index.value
+            for s in batches:
+                out = np.zeros(len(s), bool)
+                for at in range(0, len(s), _ROWS):
+                    words, starts = ix.codes(s.iloc[at : at + _ROWS])
+                    out[[at + d for d, *_ in ix.overlaps(words, starts, min_words, min_share)]] = True
+                yield pd.Series(out)
+
+        return found(F.col(text_col).cast("string"))
+
+    for index in blocks_of(benchmark, item_col, item_text_col, block_words):
+        docs = docs.where(~hit(docs.sparkSession.sparkContext.broadcast(index)))
+    return docs

@@ -230,3 +230,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int =
     roots = connected_components(edges)
     named, _ = materialize(nodes.join(roots, nodes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the document of the smallest id of every group, with all columns.
+
+    Of rows that repeat an id one stays. Documents with a null id stay, as no id tells them apart. An empty table
+    stays empty. Ids only meet in the joins; where few go, Spark broadcasts those instead of dealing the texts.
+    """
+    groups, _ = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null").select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    many, _ = materialize(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")), "repeated")
+    own = F.col(id_col).cast("long") == F.col("_gone")
+    if many.isEmpty():
+        return docs.join(gone, own, "left_anti")
+    once = docs.join(many, own, "left_anti")
+    again = docs.join(many, own, "left_semi").dropDuplicates([id_col])
+    return once.union(again).join(gone, own, "left_anti")
