@@ -37,7 +37,9 @@ def render(x: str, kind: str) -> str:
             f"(CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) WHEN isnan({x}) THEN 'NaN' WHEN abs({x}) = double('inf') THEN IF({x} > 0, 'inf', '-inf') "
             f"WHEN {x} = floor({x}) AND abs({x}) < 9e18 THEN CAST(CAST({x} AS BIGINT) AS STRING) "
             f"WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e7 THEN {plain} "
-            f"ELSE regexp_replace(CAST(CAST({x} AS DECIMAL(38, 18)) AS STRING), '\\\\.?0+$', '') END)")
+            f"WHEN abs({x}) >= 9e15 THEN coalesce(CAST(try_cast({x} AS DECIMAL(38, 0)) AS STRING), {plain}) "
+            f"WHEN abs({x}) < 1 THEN coalesce(regexp_replace(CAST(try_cast({x} AS DECIMAL(38, 37)) AS STRING), '\\\\.?0+$', ''), {plain}) "
+            f"ELSE coalesce(regexp_replace(CAST(try_cast({x} AS DECIMAL(38, 18)) AS STRING), '\\\\.?0+$', ''), {plain}) END)")
     return x if kind in ("TEXT", "JSON") else f"CAST({x} AS STRING)"
 
 
@@ -86,6 +88,11 @@ def _round(a: list[str], t: list[str]) -> str:
     return f"CAST(round({a[0]}, {n}) AS {'BIGINT' if t[0] == 'BIGINT' else 'DOUBLE'})"
 
 
+def _whole(name: str, x: str) -> str:
+    """floor or ceil as a double; large values, infinities and NaN are whole already."""
+    return f"(CASE WHEN abs({x}) < 4.5e15 THEN CAST({name}({x}) AS DOUBLE) ELSE {x} END)"
+
+
 def _json_path(path: str) -> str:
     if path.startswith("'") and path.endswith("'"):
         p = path[1:-1]
@@ -156,8 +163,8 @@ BUILTINS: dict[str, Builtin] = {
     "least": Builtin(1, 99, common, _to_common("least")),
     "abs": Builtin(1, 1, lambda t: t[0], _call("abs"), ("DOUBLE",)),
     "round": Builtin(1, 2, lambda t: t[0] if t[0] == N else "DOUBLE", _round, ("DOUBLE", N)),
-    "floor": Builtin(1, 1, lambda t: t[0] if t[0] == N else "DOUBLE", lambda a, t: a[0] if t[0] == N else f"CAST(floor({a[0]}) AS DOUBLE)", ("DOUBLE",)),
-    "ceil": Builtin(1, 1, lambda t: t[0] if t[0] == N else "DOUBLE", lambda a, t: a[0] if t[0] == N else f"CAST(ceil({a[0]}) AS DOUBLE)", ("DOUBLE",)),
+    "floor": Builtin(1, 1, lambda t: t[0] if t[0] == N else "DOUBLE", lambda a, t: a[0] if t[0] == N else _whole("floor", a[0]), ("DOUBLE",)),
+    "ceil": Builtin(1, 1, lambda t: t[0] if t[0] == N else "DOUBLE", lambda a, t: a[0] if t[0] == N else _whole("ceil", a[0]), ("DOUBLE",)),
     "mod": Builtin(2, 2, N, _call("try_mod"), (N, N)),
     "json_extract": Builtin(2, 2, "JSON", _json_extract, ("JSON", T)),
     "json_extract_string": Builtin(2, 2, T, _json_string, ("JSON", T)),

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file that one deletion vector covers.
+VECTOR_ROWS = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
@@ -72,3 +82,83 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("v"), F.col("v").alias("root"))
     return stars.union(cur.select("v", F.col("v").alias("root")).distinct())
+
+
+def located(df: DataFrame, *columns) -> DataFrame | None:
+    """columns of a DataFrame that reads files, after (file, pos): each row's place. None where rows have no place."""
+    try:
+        return df.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("pos"), *columns)
+    except AnalysisException:
+        return None
+
+
+def drop_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """df without the rows at the places in gone(file, pos), all columns kept and nothing of df shuffled.
+
+    Only places are dealt, by file, and become deletion vectors in the shared folder: a bit for each row of a stretch
+    of a file. Reading df again, each task looks up the vectors of the files that it reads.
+    """
+    spark = df.sparkSession
+    folder = scratch(spark, "gone")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        key, bits, done = None, None, 0
+
+        def close() -> None:
+            part = f"{base}/{uuid.uuid4().hex}.part"  # appears whole; a task that runs again writes the same
+            with fs.open_output_stream(part, compression=None) as f:
+                f.write(zlib.compress(np.packbits(bits).tobytes()))
+            fs.move(part, f"{base}/{key[0]}-{key[1]}")
+
+        for b in batches:
+            files, chunks, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cut = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (chunks[1:] != chunks[:-1])]) if len(files) else []
+            for i, j in zip(cut, [*cut[1:], len(files)]):
+                own = (int(files[i]), int(chunks[i]))
+                if own != key:
+                    if key is not None:
+                        close()
+                    key, bits = own, np.zeros(VECTOR_ROWS, bool)
+                    done += 1
+                bits[at[i:j]] = True
+        if key is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["vectors"])
+
+    places = gone.select("file", F.shiftright("pos", 20).alias("chunk"), F.col("pos").bitwiseAND(VECTOR_ROWS - 1).alias("at"))
+    made = places.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk").mapInArrow(write, "vectors long")
+    if not made.agg(F.sum("vectors")).first()[0]:
+        return df
+
+    @F.pandas_udf("boolean")
+    def stays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        vectors: dict[tuple[int, int], np.ndarray | None] = {}
+
+        def vector(key: tuple[int, int]) -> np.ndarray | None:
+            if key not in vectors:
+                if len(vectors) >= 64:
+                    vectors.clear()
+                path = f"{base}/{key[0]}-{key[1]}"
+                if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                    vectors[key] = None
+                else:
+                    with fs.open_input_file(path) as f:
+                        vectors[key] = np.frombuffer(zlib.decompress(f.read()), np.uint8)
+            return vectors[key]
+
+        for file, pos in batches:
+            f, p = file.to_numpy(), pos.to_numpy()
+            keep = np.ones(len(f), bool)
+            for own in {*zip(f.tolist(), (p >> 20).tolist())}:
+                v = vector(own)
+                if v is not None:
+                    here = np.flatnonzero((f == own[0]) & (p >> 20 == own[1]))
+                    at = p[here] & (VECTOR_ROWS - 1)
+                    keep[here] = (v[at >> 3] >> (7 - (at & 7)) & 1) == 0
+            yield pd.Series(keep)
+
+    return df.where(stays(F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index").cast("long")))

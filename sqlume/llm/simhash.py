@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlume.llm.common import connected_components, materialize
+from sqlume.llm.common import connected_components, drop_rows, located, materialize
 
 SEED = 42
 FANOUT = 16
@@ -48,15 +48,18 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) for every row; fp holds the 64 bits as a signed long."""
+    """(doc_id long, fp long) for every row, fp holding the 64 bits as a signed long; where docs reads files, also each row's place (file, pos)."""
+    own = (F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = located(docs, *own)
+    names = ["file", "pos", "doc_id"] if src is not None else ["doc_id"]
+    src = src if src is not None else docs.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(len(names))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -215,35 +218,43 @@ def link_edges(nodes: DataFrame, max_distance: int = 3, bucket_limit: int = BUCK
     return edges, paths
 
 
+def grouped(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, bucket_limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The fingerprints of all rows with component_id, the smallest doc_id of the group."""
+    marks, _ = materialize(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
+    nodes, _ = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    edges, _ = link_edges(nodes.where("rep is not null"), max_distance, bucket_limit)
+    roots = connected_components(edges)
+    named, _ = materialize(nodes.join(roots, nodes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
+    return marks.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, bucket_limit: int = BUCKET_LIMIT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per document.
 
     fingerprint: 16 lowercase hex digits; component_id: smallest doc_id reachable over links of at most
     max_distance differing bits, itself included. Null, empty and blank texts have fingerprint zero and are linked
-    like any other. A null doc_id counts for no component's smallest id; a component without any id has null.
-    Repeated rows each get their row. An empty table gives an empty result. Other columns are ignored.
+    like any other. A null doc_id counts for no component's smallest id; a fingerprint without any id has null and
+    no links. Repeated rows each get their row. An empty table gives an empty result. Other columns are ignored.
     """
-    marks, _ = materialize(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
-    nodes, _ = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    edges, paths = link_edges(nodes.where("rep is not null"), max_distance, bucket_limit)
-    roots = connected_components(edges)
-    named, _ = materialize(nodes.join(roots, nodes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, shingle_words, max_distance, bucket_limit, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the document of the smallest id of every group, with all columns.
+    """docs with one document of every group, that of the smallest id, with all columns.
 
-    Of rows that repeat an id one stays. Documents with a null id stay, as no id tells them apart. An empty table
-    stays empty. Ids only meet in the joins; where few go, Spark broadcasts those instead of dealing the texts.
+    Of rows that repeat an id the first in the files stays. A document without an id goes if its group has one with an
+    id, else the first of its fingerprint stays. An empty table stays empty. docs must read files: rows are told apart
+    by their places, so that the texts are read twice but never shuffled.
     """
-    groups, _ = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null").select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    many, _ = materialize(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")), "repeated")
-    own = F.col(id_col).cast("long") == F.col("_gone")
-    if many.isEmpty():
-        return docs.join(gone, own, "left_anti")
-    once = docs.join(many, own, "left_anti")
-    again = docs.join(many, own, "left_semi").dropDuplicates([id_col])
-    return once.union(again).join(gone, own, "left_anti")
+    found, _ = materialize(grouped(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    if "pos" not in found.columns:
+        raise ValueError("one_each takes documents that are read from files")
+    place = F.struct("file", "pos")
+    others = found.where("component_id is not null and not doc_id <=> component_id").select("file", "pos")
+    heads = found.where("doc_id = component_id or component_id is null")
+    key = F.coalesce("doc_id", "fp")
+    again = heads.groupBy(key.alias("k"), F.col("component_id").isNull().alias("lone")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = heads.join(again, (key == F.col("k")) & (F.col("component_id").isNull() == F.col("lone"))).where(place != F.col("first")).select("file", "pos")
+    return drop_rows(docs, others.union(again))

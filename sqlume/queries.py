@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sqlume import evals
 from sqlume.calls.providers import Ruled
+from sqlume.operators import text
 from sqlume.session import Session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -102,12 +105,12 @@ def tables(session: Session, sf_dir: str, names: list[str] = TABLES) -> Session:
     return session
 
 
-def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         import re
 
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-        return tables(Session(spark), sf_dir, used).sql(text)
+        used = [t for t in TABLES if re.search(rf"\b{t}\b", body)]
+        return tables(Session(spark), sf_dir, used).sql(body)
 
     return run
 
@@ -156,8 +159,8 @@ def call_session(spark: SparkSession, sf_dir: str, names: list[str]) -> Session:
     return session
 
 
-def _call(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: call_session(spark, sf_dir, ["region", "nation", "supplier", "part"]).sql(text)
+def _call(body: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: call_session(spark, sf_dir, ["region", "nation", "supplier", "part"]).sql(body)
 
 
 def statements_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +196,8 @@ def memo_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{name: _sql(text) for name, (text, _) in SQL.items()},
-    **{name: _call(text) for name, (text, _) in CALLS.items()},
+    **{name: _sql(dialect) for name, (dialect, _) in SQL.items()},
+    **{name: _call(dialect) for name, (dialect, _) in CALLS.items()},
     **{f.__name__: f for f in (statements_cycle, beam_top_k, max_rounds_cap, explain_calls, memo_second_run)},
 }
 #: Columns that DuckDB types as INTEGER and the dialect, which has one integer type, as BIGINT.
@@ -211,10 +214,79 @@ def _typed(name: str, sql: str) -> str:
 
 
 _ORACLES: dict[str, str] = {
-    **{name: other or text for name, (text, other) in SQL.items()},
+    **{name: other or dialect for name, (dialect, other) in SQL.items()},
     **{name: other for name, (_, other) in CALLS.items()},
     "statements_cycle": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_regionkey = 1 UNION ALL VALUES (100, 'none'), (101, 'none')",
     "max_rounds_cap": "SELECT unnest(generate_series(1, 6)) AS n",
     "memo_second_run": "SELECT 'relevant' AS function, false AS memo, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) AS n FROM nation UNION ALL SELECT 'relevant', true, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) FROM nation",
 }
 ORACLES: dict[str, str] = {name: _typed(name, sql) for name, sql in _ORACLES.items()}
+
+
+# text relations and evaluation reports over the driver's tables
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr("doc_id", "lineno", "line")
+
+
+def grep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.grep(_read(spark, sf_dir, "documents").select("doc_id", "text"), "the .* and")
+
+
+def paragraphs_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.paragraphs(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+
+
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.bm25(_read(spark, sf_dir, "documents"), "with their the", "doc_id", n=20)
+
+
+def html_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+def _evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as attempts: a status is a run, a priority a mode."""
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderstatus AS run", "'orders' AS pack", "o_orderpriority AS mode", "o_orderkey AS seq", "concat('t', o_custkey % 7) AS task", "o_totalprice > 150000 AS solved",
+        "o_orderkey % 9 AS calls", "o_orderkey % 1000 AS tokens", "CAST(o_custkey % 13 AS DOUBLE) AS dollars", "o_orderkey % 5000 AS wall_ms")
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.report(_evals(spark, sf_dir)).select("pack", "mode", "tasks", "solved", *[F.round(c, 6).alias(c) for c in ("accuracy", "calls_per_task", "tokens_per_task", "dollars_per_task")])
+
+
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.learning_curve(_evals(spark, sf_dir), 10).select("run", "seq", F.round("rate", 6).alias("rate"))
+
+
+def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.pareto(_evals(spark, sf_dir)).select("mode", "solved")
+
+
+def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.ratings(_evals(spark, sf_dir).withColumnRenamed("run", "solver"))
+
+
+_ATTEMPTS = ("(SELECT o_orderstatus AS run, 'orders' AS pack, o_orderpriority AS mode, o_orderkey AS seq, o_totalprice > 150000 AS solved, o_orderkey % 9 AS calls, "
+             "o_orderkey % 1000 AS tokens, CAST(o_custkey % 13 AS DOUBLE) AS dollars FROM orders)")
+_TEXT = (lines_documents, grep_documents, paragraphs_conversations, bm25_documents, html_text_pages, eval_report, learning_curve, pareto, elo_ratings)
+QUERIES |= {f.__name__: f for f in _TEXT}
+_LINES = "SELECT doc_id, CAST(i AS BIGINT) AS lineno, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''))"
+_TERMS = ("the", "their", "with")
+ORACLES |= {
+    "lines_documents": _LINES,
+    "grep_documents": f"SELECT * FROM ({_LINES}) WHERE regexp_matches(line, 'the .* and')",
+    "bm25_documents": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents), "
+    f"d AS (SELECT doc_id, len(w) AS n, {', '.join(f'''len(list_filter(w, lambda x: x = '{t}')) AS t{i}''' for i, t in enumerate(_TERMS))} FROM w), "
+    f"s AS (SELECT count(*) AS c, avg(n) AS m, {', '.join(f'count(*) FILTER (t{i} > 0) AS f{i}' for i in range(3))} FROM d) "
+    f"SELECT doc_id, round(x, 3) AS score FROM (SELECT doc_id, {' + '.join(f'ln((c - f{i} + 0.5) / (f{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / m))' for i in range(3))} AS x FROM d, s WHERE t0 + t1 + t2 > 0) ORDER BY x DESC, doc_id LIMIT 20",
+    "eval_report": f"SELECT pack, mode, count(*) AS tasks, CAST(sum(solved::INT) AS BIGINT) AS solved, round(avg(solved::INT), 6) AS accuracy, round(avg(calls), 6) AS calls_per_task, round(avg(tokens), 6) AS tokens_per_task, round(avg(dollars), 6) AS dollars_per_task FROM {_ATTEMPTS} GROUP BY 1, 2",
+    "learning_curve": f"SELECT run, seq, round(avg(solved::INT) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM {_ATTEMPTS}",
+    "pareto": f"WITH r AS (SELECT mode, CAST(sum(solved::INT) AS BIGINT) AS solved, avg(solved::INT) AS a, avg(dollars) AS c FROM {_ATTEMPTS} GROUP BY 1) SELECT mode, solved FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.c <= r.c AND o.a >= r.a AND (o.c < r.c OR o.a > r.a))",
+}
