@@ -22,8 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Windows of up to ten words, six of which count.
-MASKS = ("111111", "1101011001", "111001011", "1011000111")
+#: Windows of up to ten words, six of which count: some window of a stretch of 13 words or more is hit whichever fifth is substituted.
+MASKS = ("111111", "1101011001", "111001011", "1011000111", "1110001011")
+#: The same for whole items of 8 to 12 words.
+SHORT_MASKS = ("111011", "11010011", "11111")
 MIN_WORDS = 13
 MIN_ITEM_WORDS = 8
 MIN_SHARE = 0.8
@@ -48,11 +50,13 @@ class SeedIndex:
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
         # the value of a word is its own hash; a word that no item has is 0 and never agrees
         self.value = np.array([0, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in self.vocab)], np.uint64)
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in masks]
+        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in (*masks, *SHORT_MASKS)]
         self.seeds = []
-        for mask in self.masks:
+        for r, mask in enumerate(self.masks):
             h, item, at = [], [], []
             for k, ws in enumerate(self.items):
+                if r >= len(masks) and len(ws) >= MIN_WORDS:
+                    continue
                 own = self.hashes(self.value[ws], mask)
                 h.append(own), item.append(np.full(len(own), k)), at.append(np.arange(len(own)))
             h, item, at = (np.concatenate([np.empty(0, t), *x]) for x, t in ((h, np.uint64), (item, np.int64), (at, np.int64)))
