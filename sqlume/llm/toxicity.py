@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
 One weight vector is shared by all ordered thresholds: P(grade >= k) = sigmoid(w.x - theta_k). Features are words and
-word beginnings, with the logarithm of their counts as values; the fit is L1-regularised, so few features carry
+word beginnings, with the logarithm of their counts as values, and the text's length; the fit is L1-regularised, so few features carry
 weight and long harmless texts gather none. The model is fitted on the driver on at most ``max_train`` labelled
 documents (chosen by a hash of their ids) and broadcast; scoring is a map over all documents.
 
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 MAX_TRAIN = 6_000
 MAX_FEATURES = 384
 MIN_DOCS = 3
-L1 = 0.3
+L1 = 0.6
 REJECT_AT = 0.5
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
+#: Feature whose count is that of all words, so that few hits weigh less in a long text than in a short one.
+LENGTH = "#words"
 _CACHE = 300_000
 
 
@@ -40,6 +42,7 @@ def features_of(word: str) -> list[str]:
 def counts_of(text: str | None) -> Counter:
     c: Counter = Counter()
     for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        c[LENGTH] += n
         for f in features_of(w):
             c[f] += n
     return c
@@ -69,7 +72,10 @@ class Model:
 
         def score(text: str | None) -> float:
             hits: Counter = Counter()
-            for w in _WORD.findall((text or "").lower()):
+            words = _WORD.findall((text or "").lower())
+            if LENGTH in weights and words:
+                hits[LENGTH] = len(words)
+            for w in words:
                 own = seen.get(w)
                 if own is None:
                     own = tuple(f for f in features_of(w) if f in weights)
@@ -104,28 +110,29 @@ def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES, l
     gain = {}
     for f, k in with_.items():
         p = of_pos[f]
-        if p / k > pos / n:
+        if f != LENGTH and p / k > pos / n:
             gain[f] = (p * n - k * pos) ** 2 / (k * pos * (n - k) * (n - pos) or 1)
     names = sorted(gain, key=lambda f: (-gain[f], len(f), f))[: 4 * max_features]
     if not names:
         return Model()
-    few = set(names)
+    few = {LENGTH, *names}
     bags = [{f: c for f, c in counts_of(t).items() if f in few} for t in once]
     held: dict[str, list] = {f: [] for f in names}
     for r, bag in enumerate(bags):
         for f, c in bag.items():
-            held[f].append((r, c))
+            if f != LENGTH:
+                held[f].append((r, c))
     first: dict[tuple, str] = {}
     for f in names:  # a word and its beginnings often have the same counts everywhere: the shortest stands for all
         first.setdefault(tuple(held[f]), f)
-    names = list(first.values())[:max_features]
+    names = [*list(first.values())[:max_features], LENGTH]
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((n, len(names)), np.float32)
     for r, bag in enumerate(bags):
         for f, c in bag.items():
             if f in at:
                 x[r, at[f]] = np.log1p(c)
-    sure = {f for f in names if with_[f] == of_pos[f] and gain[f] >= gain[names[0]] / 20}
+    sure = {f for f in names[:-1] if with_[f] == of_pos[f] and gain[f] >= gain[names[0]] / 20}
     strong = np.array([sum(np.log1p(c) for f, c in bag.items() if f in sure) for bag in bags])
     grade = np.where(y == 0, 0, np.where(strong < np.median(strong[y == 1]), 1, 2))
     above = np.stack([grade >= k for k in range(1, GRADES)], 1).astype(np.float32)
