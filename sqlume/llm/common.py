@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a file that one deletion vector covers.
@@ -84,10 +84,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.union(cur.select("v", F.col("v").alias("root")).distinct())
 
 
+def place_of(df: DataFrame) -> tuple[Column, Column]:
+    """Where a row lies: its file's hash and its place there; a column of df named like the metadata is not mistaken for it."""
+    meta = df.metadataColumn("_metadata")
+    return F.xxhash64(meta["file_path"]), meta["row_index"].cast("long")
+
+
 def located(df: DataFrame, *columns) -> DataFrame | None:
     """columns of a DataFrame that reads files, after (file, pos): each row's place. None where rows have no place."""
     try:
-        return df.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("pos"), *columns)
+        file, pos = place_of(df)
+        return df.select(file.alias("file"), pos.alias("pos"), *columns)
     except AnalysisException:
         return None
 
@@ -161,4 +168,4 @@ def drop_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
                     keep[here] = (v[at >> 3] >> (7 - (at & 7)) & 1) == 0
             yield pd.Series(keep)
 
-    return df.where(stays(F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index").cast("long")))
+    return df.where(stays(*place_of(df)))

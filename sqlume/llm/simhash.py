@@ -245,12 +245,13 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one document of every group, that of the smallest id, with all columns.
 
     Of rows that repeat an id the first in the files stays. A document without an id goes if its group has one with an
-    id, else the first of its fingerprint stays. An empty table stays empty. docs must read files: rows are told apart
-    by their places, so that the texts are read twice but never shuffled.
+    id, else the first of its fingerprint stays. An empty table stays empty. Rows are told apart by their places in
+    files, so that the texts are read twice but never shuffled; docs that do not read files are written to the shared
+    folder first.
     """
+    if located(docs) is None:
+        docs, _ = materialize(docs, "documents")
     found, _ = materialize(grouped(docs, id_col=id_col, text_col=text_col, **options), "groups")
-    if "pos" not in found.columns:
-        raise ValueError("one_each takes documents that are read from files")
     place = F.struct("file", "pos")
     others = found.where("component_id is not null and not doc_id <=> component_id").select("file", "pos")
     heads = found.where("doc_id = component_id or component_id is null")
