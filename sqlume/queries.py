@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlume import evals
-from sqlume.calls.providers import Ruled
+from sqlume.calls.providers import Ruled, Scripted
 from sqlume.operators import text
 from sqlume.session import Session
 
@@ -290,3 +293,61 @@ ORACLES |= {
     "learning_curve": f"SELECT run, seq, round(avg(solved::INT) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM {_ATTEMPTS}",
     "pareto": f"WITH r AS (SELECT mode, CAST(sum(solved::INT) AS BIGINT) AS solved, avg(solved::INT) AS a, avg(dollars) AS c FROM {_ATTEMPTS} GROUP BY 1) SELECT mode, solved FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.c <= r.c AND o.a >= r.a AND (o.c < r.c OR o.a > r.a))",
 }
+
+
+# calls that make rows, built-in calls, delegation, workspace files and judged answers, over the nations
+
+
+def _nations(spark: SparkSession, sf_dir: str, **options) -> Session:
+    return tables(Session(spark, **options), sf_dir, ["nation"])
+
+
+def _two_forms(prompt: str) -> str:
+    name = prompt.split("\n")[0]
+    return json.dumps([name.lower(), name.upper(), name])
+
+
+def expand_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir, provider=Scripted(default=_two_forms)).sql("SELECT n.n_name, e.item FROM nation n CROSS JOIN LATERAL expand(n.n_name, 2) AS e")
+
+
+def builtin_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def reply(prompt: str) -> str:
+        name = prompt.split("\n")[0]
+        return json.dumps({"n": len(name)}) if "schema" in prompt else json.dumps({"answer": "a" in name.lower()}) if "true" in prompt else name.upper()
+
+    return _nations(spark, sf_dir, provider=Scripted(default=reply)).sql(
+        "SELECT n_name, llm(n_name) AS t, llm_bool(n_name) AS b, CAST(json_extract_string(llm_json(n_name, '{\"n\": \"number\"}'), '$.n') AS BIGINT) AS n FROM nation")
+
+
+def delegation_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _nations(spark, sf_dir, runner=lambda child, role, task: (f"{child.depth} {task}", {"turns": 1}))
+    return s.sql("SELECT n.n_name, r.answer FROM nation n CROSS JOIN LATERAL rlm(n.n_name) r WHERE n.n_regionkey = 2")
+
+
+def csv_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations written to files of a workspace and read as records."""
+    with tempfile.TemporaryDirectory() as top:  # records are read on the driver when the statement is planned
+        rows = [(r.n_nationkey, r.n_name) for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+        Path(top, "n.csv").write_text("key,name\r\n" + "".join(f'{k},"{n}"\r\n' for k, n in rows))
+        Path(top, "n.json").write_text("\n".join(json.dumps({"key": k, "name": n}) for k, n in rows))
+        s = Session(spark, workspace=top)
+        return s.sql("SELECT 'csv' AS kind, row AS line, json_extract_string(record, '$.key') AS k, json_extract_string(record, 'name') AS v FROM read_csv('n.csv') "
+                     "UNION ALL SELECT 'json', row, json_extract_string(record, '$.key'), json_extract_string(record, 'name') FROM read_json('n.json')")
+
+
+def exact_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _nations(spark, sf_dir)
+    bag = s.sql("SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
+    same = s.sql("SELECT n_regionkey + 0.0 AS r, COUNT(n_name) AS c FROM nation GROUP BY n_regionkey ORDER BY 1 DESC")
+    return spark.createDataFrame([(evals.exact(bag, same), evals.exact(bag, same.limit(4)))], "equal boolean, shorter boolean")
+
+
+QUERIES |= {f.__name__: f for f in (expand_lateral, builtin_calls, delegation_lateral, csv_json_records, exact_oracle)}
+ORACLES |= {
+    "expand_lateral": "SELECT n_name, unnest([lower(n_name), upper(n_name)]) AS item FROM nation",
+    "builtin_calls": "SELECT n_name, upper(n_name) AS t, lower(n_name) LIKE '%a%' AS b, length(n_name) AS n FROM nation",
+    "delegation_lateral": "SELECT n_name, '1 ' || n_name AS answer FROM nation WHERE n_regionkey = 2",
+    "csv_json_records": "SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n_nationkey) AS line, CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation, (VALUES ('csv'), ('json')) AS t(kind)",
+    "exact_oracle": "SELECT true AS equal, false AS shorter",
+}
