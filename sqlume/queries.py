@@ -93,6 +93,10 @@ SQL: dict[str, tuple[str, str | None]] = {
                          "WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE strpos(text, chr(10)) = 0 AND length(text) > 0), "
                          "s AS (SELECT doc_id, n, unnest(generate_series(0, CASE WHEN n <= 500 THEN 0 ELSE CAST(ceil((n - 500) / 450.0) AS BIGINT) END)) AS ordinal FROM d) "
                          "SELECT doc_id, ordinal, least(500, n - ordinal * 450) AS n, CAST(ceil(least(500, n - ordinal * 450) / 4.0) AS BIGINT) AS tokens FROM s"),
+    "chunks_all_documents": ("SELECT d.doc_id, c.ordinal, LENGTH(c.text) AS n, c.tokens FROM documents d CROSS JOIN LATERAL chunks(d.text, 500, 50) c",
+                             "WITH RECURSIVE w AS (SELECT doc_id, CAST(0 AS BIGINT) AS ordinal, text AS rest, CASE WHEN length(text) > 500 AND strpos(substr(text, 401, 100), chr(10)) > 0 THEN 500 - length(string_split(substr(text, 401, 100), chr(10))[-1]) ELSE least(500, length(text)) END AS n FROM documents WHERE length(text) > 0 "
+                             "UNION ALL SELECT doc_id, ordinal + 1, r, CASE WHEN length(r) > 500 AND strpos(substr(r, 401, 100), chr(10)) > 0 THEN 500 - length(string_split(substr(r, 401, 100), chr(10))[-1]) ELSE least(500, length(r)) END FROM (SELECT doc_id, ordinal, substr(rest, n - 49) AS r FROM w WHERE n < length(rest)) AS t) "
+                             "SELECT doc_id, ordinal, n, CAST(ceil(n / 4.0) AS BIGINT) AS tokens FROM w"),
     "conversation_digest": ("SELECT conv_id, COUNT(*) AS turns, STRING_AGG(role || ':' || CAST(LENGTH(text) AS TEXT), ' ' ORDER BY turn, role, LENGTH(text)) AS shape FROM conversations GROUP BY conv_id",
                             "SELECT conv_id, COUNT(*) AS turns, string_agg(role || ':' || CAST(length(text) AS VARCHAR), ' ' ORDER BY turn, role, length(text)) AS shape FROM conversations GROUP BY conv_id"),
     "label_join": ("SELECT d.lang, COUNT(*) AS n, SUM(l.toxic) AS toxic, SUM(l.quality) AS good FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang",
