@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlume.llm import decontam, packing, secrets, simhash, toxicity
+from sqlume.llm import decontam, nearcopies, packing, secrets, toxicity
 from sqlume.llm.common import materialize
 
 
@@ -15,8 +15,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash group."""
-    return simhash.one_each(docs)
+    """One document of every group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.one_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
