@@ -61,8 +61,10 @@ SQL: dict[str, tuple[str, str | None]] = {
     "union_set": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "order_nulls_default": ("SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC, p_partkey LIMIT 100", "SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC NULLS FIRST, p_partkey LIMIT 100"),
+    "order_nulls_all_rows": ("SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC, p_partkey", "SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC NULLS FIRST, p_partkey"),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20", None),
+    "order_hidden_column_all_rows": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey", None),
     "inner_join": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 0", None),
     "left_join_nulls": ("SELECT c.c_custkey, COUNT(o.o_orderkey) AS n, MAX(o.o_totalprice) AS top FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 GROUP BY c.c_custkey", None),
     "cross_join": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
@@ -154,6 +156,7 @@ CALLS: dict[str, tuple[str, str]] = {
     "call_or_pure": ("SELECT n_name FROM nation WHERE n_regionkey = 1 OR relevant(n_name)", "SELECT n_name FROM nation WHERE n_regionkey = 1 OR lower(n_name) LIKE '%a%'"),
     "call_in_case": ("SELECT n_name, CASE WHEN n_regionkey < 2 THEN shout(n_name) ELSE 'no' END AS c FROM nation", "SELECT n_name, CASE WHEN n_regionkey < 2 THEN upper(n_name) ELSE 'no' END AS c FROM nation"),
     "call_in_order": ("SELECT n_name FROM nation ORDER BY size_of(n_name) DESC, n_name LIMIT 7", "SELECT n_name FROM nation ORDER BY length(n_name) DESC, n_name LIMIT 7"),
+    "call_in_order_all_rows": ("SELECT n_name FROM nation ORDER BY size_of(n_name) DESC, n_name", "SELECT n_name FROM nation ORDER BY length(n_name) DESC, n_name"),
     "join_order_calls": ("SELECT r.r_name, n.n_name, s.s_suppkey FROM region r, nation n, supplier s WHERE relevant(r.r_name) AND matches(n.n_name, r.r_name) AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey",
                          "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r, nation n, supplier s WHERE lower(r.r_name) LIKE '%a%' AND lower(left(n.n_name, 1)) = lower(left(r.r_name, 1)) AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey"),
     "sql_function": ("SELECT n_nationkey, doubled(n_nationkey) AS d FROM nation", "SELECT n_nationkey, n_nationkey * 2 AS d FROM nation"),

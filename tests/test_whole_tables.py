@@ -2,8 +2,13 @@
 
 import random
 
+import duckdb
+import pytest
+
 from sqlume import queries
 
+DATA = "/root/testdata/sf0.001"
+
 
 def brute_chunks(text, size, overlap):
     out, at = [], 0
@@ -26,3 +31,12 @@ def test_chunks_of_documents_with_newlines(spark, tmp_path):
     got = sorted(tuple(r) for r in queries.QUERIES["chunks_all_documents"](spark, str(tmp_path)).collect())
     want = [(i, k, len(c), -(-len(c) // 4)) for i, t in enumerate(texts) for k, c in enumerate(brute_chunks(t, 500, 50))]
     assert got == want and {i for i, *_ in got} == {i for i, t in enumerate(texts) if t}
+
+
+@pytest.mark.parametrize("name,table", [("order_nulls_all_rows", "part"), ("order_hidden_column_all_rows", "customer"), ("call_in_order_all_rows", "nation")])
+def test_all_rows_in_order(spark, name, table):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got = [tuple(r) for r in queries.QUERIES[name](spark, DATA).collect()]
+    assert got == db.execute(queries.ORACLES[name]).fetchall()
+    assert len(got) == db.execute(f"SELECT COUNT(*) FROM {table}").fetchone()[0]
