@@ -332,6 +332,11 @@ def delegation_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT n.n_name, r.answer FROM nation n CROSS JOIN LATERAL rlm(n.n_name) r WHERE n.n_regionkey = 2")
 
 
+def delegation_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _nations(spark, sf_dir, runner=lambda child, role, task: (f"{child.depth} {task}", {"turns": 1}))
+    return s.sql("SELECT n.n_name, r.answer FROM nation n CROSS JOIN LATERAL rlm(n.n_name) r")
+
+
 def csv_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations written to files of a workspace and read as records."""
     with tempfile.TemporaryDirectory() as top:  # records are read on the driver when the statement is planned
@@ -350,11 +355,12 @@ def exact_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(evals.exact(bag, same), evals.exact(bag, same.limit(4)))], "equal boolean, shorter boolean")
 
 
-QUERIES |= {f.__name__: f for f in (expand_lateral, builtin_calls, delegation_lateral, csv_json_records, exact_oracle)}
+QUERIES |= {f.__name__: f for f in (expand_lateral, builtin_calls, delegation_lateral, delegation_all_nations, csv_json_records, exact_oracle)}
 ORACLES |= {
     "expand_lateral": "SELECT n_name, unnest([lower(n_name), upper(n_name)]) AS item FROM nation",
     "builtin_calls": "SELECT n_name, upper(n_name) AS t, lower(n_name) LIKE '%a%' AS b, length(n_name) AS n FROM nation",
     "delegation_lateral": "SELECT n_name, '1 ' || n_name AS answer FROM nation WHERE n_regionkey = 2",
+    "delegation_all_nations": "SELECT n_name, '1 ' || n_name AS answer FROM nation",
     "csv_json_records": "SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n_nationkey) AS line, CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation, (VALUES ('csv'), ('json')) AS t(kind)",
     "exact_oracle": "SELECT true AS equal, false AS shorter",
 }

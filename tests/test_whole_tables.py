@@ -40,3 +40,9 @@ def test_all_rows_in_order(spark, name, table):
     got = [tuple(r) for r in queries.QUERIES[name](spark, DATA).collect()]
     assert got == db.execute(queries.ORACLES[name]).fetchall()
     assert len(got) == db.execute(f"SELECT COUNT(*) FROM {table}").fetchone()[0]
+
+
+def test_delegation_runs_for_every_nation(spark):
+    names = [r.n_name for r in spark.read.parquet(f"{DATA}/nation.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.QUERIES["delegation_all_nations"](spark, DATA).collect())
+    assert got == sorted((n, f"1 {n}") for n in names) and len(got) == 25
