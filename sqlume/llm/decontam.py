@@ -4,7 +4,8 @@ Fixed masks pick some token positions of a window and ignore the others, so that
 still hashes like the original. Hashes of all benchmark windows are joined with those of all document windows; each
 hit is verified by aligning the item with the document along the hit's diagonal and taking the best-scoring stretch,
 which may hold substituted words. A document overlaps an item where such a stretch has at least ``min_words`` words
-(or the whole item, where that is shorter) of which a share of ``min_share`` or more agree.
+(or the whole item, where that is shorter) of which a share of ``min_share`` or more agree. Items of under
+``MIN_ITEM_WORDS`` words are looked for whole and word for word, by one hash of their words.
 
 The benchmark is read in blocks of bounded size; each block's index is broadcast and the documents are scanned once
 for each block, so no size of benchmark overfills an executor and documents are never shuffled.
@@ -50,12 +51,14 @@ class SeedIndex:
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
         # the value of a word is its own hash; a word that no item has is 0 and never agrees
         self.value = np.array([0, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in self.vocab)], np.uint64)
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in (*masks, *SHORT_MASKS)]
+        whole = sorted({len(ws) for _, ws in items if len(ws) < MIN_ITEM_WORDS})
+        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in (*masks, *SHORT_MASKS)] + [np.arange(n) for n in whole]
+        seeded = len(masks) + len(SHORT_MASKS)
         self.seeds = []
         for r, mask in enumerate(self.masks):
             h, item, at = [], [], []
             for k, ws in enumerate(self.items):
-                if r >= len(masks) and len(ws) >= MIN_WORDS:
+                if len(ws) != whole[r - seeded] if r >= seeded else len(ws) < MIN_ITEM_WORDS or r >= len(masks) and len(ws) >= MIN_WORDS:
                     continue
                 own = self.hashes(self.value[ws], mask)
                 h.append(own), item.append(np.full(len(own), k)), at.append(np.arange(len(own)))
@@ -111,6 +114,8 @@ class SeedIndex:
             if stretch is None:
                 continue
             a, b, agree = stretch
+            if len(ws) < MIN_ITEM_WORDS and agree < len(ws):
+                continue
             if b - a >= min(min_words, len(ws)) and (b - a, agree) > best.get((d, k), (0, 0, 0))[:2]:
                 best[d, k] = (b - a, agree, int(lo + a - starts[d]))
         return [(d, k, at, n, agree) for (d, k), (n, agree, at) in sorted(best.items())]
@@ -142,7 +147,7 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
     rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
     for item_id, text in rows.toLocalIterator():
         ws = words_of(text)
-        if len(ws) < MIN_ITEM_WORDS:
+        if not ws:
             continue
         if items and n + len(ws) > block_words:
             yield SeedIndex(items)
@@ -158,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     """One row (doc_id, item_id, doc_start, n_words, n_agree, share) for each document and item that overlap.
 
     The longest stretch counts (then the one with most agreeing words, then the first); doc_start counts words of the
-    document. Null and empty texts overlap with nothing, nor do items of under MIN_ITEM_WORDS words. Repeated
+    document. Null and empty texts overlap with nothing, nor do items without words. Repeated
     documents and items each give their rows. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
