@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a file that one deletion vector covers.
-VECTOR_ROWS = 1 << 20
+#: Rows of a file whose places are kept together.
+CHUNK_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one, in local mode only."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sqlume-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,11 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path in whatever store it names."""
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete paths in whatever store they name."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -47,41 +50,74 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph given as (a long, b long): one row (v, root) per vertex that has an edge.
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of these edges as stars: every vertex but the smallest of its component, with that one."""
+    ids, ix = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = ix[: len(u)], ix[len(u) :], np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def _partition_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one partition as stars."""
+    held = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    for b in batches:
+        for k in range(2):
+            held[k].append(b.column(k).to_numpy(zero_copy_only=False))
+    u, v = local_stars(*map(np.concatenate, held))
+    for i in range(0, len(u), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+    """Components of an undirected graph given as (a long, b long): one row (v, root) per vertex that has an edge; and the path behind it.
 
     root is the smallest vertex of the component. Alternates large-star and small-star steps: in each, every
-    vertex points its larger (or all) neighbours at its smallest neighbour. Minimums are combined map-side and a
-    vertex with very many neighbours is split by the adaptive skew join; each round is cut in shared storage.
-    Loops, repeated and null edges are ignored.
+    vertex points its larger (or all) neighbours at its smallest neighbour. Minimums are combined map-side, each
+    partition turns its own edges into stars, and each round is cut in shared storage. A graph that fits in one
+    partition is done in the first round, the second finds nothing to change. Loops, repeated and null edges are ignored.
+
+    The minimums are grouped by (u, a function of u), which makes the same groups, but an exchange that the join by u
+    can't use: so both of its sides come straight from exchanges, the shape in which the adaptive skew join splits a
+    vertex with very many neighbours over tasks.
     """
     spark = edges.sparkSession
-    cur = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct()
-    cur, path = materialize(cur, "cc")
-    before = None
+
+    def cut(df: DataFrame) -> tuple[DataFrame, str, dict]:
+        seen = Observation()
+        marks = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        df, path = materialize(df.distinct().mapInArrow(_partition_stars, "u long, v long").observe(seen, *marks), "cc")
+        return df, path, seen.get
+
+    cur, path, before = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    side = F.pmod(F.hash("u"), F.lit(2)).alias("side")
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u", side).agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.distinct()
         # small-star: u > v in every row of `large`
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u", side).agg(F.min("v").alias("m")).select("u", "m")
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
-        )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        nxt, npath = materialize(small, "cc")
-        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        )).alias("e")).select("e.u", "e.v").where("u <> v")
+        nxt, npath, now = cut(small)
         remove(spark, path)
         cur, path = nxt, npath
-        if tuple(now) == before:
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return stars.union(cur.select("v", F.col("v").alias("root")).distinct())
+    return stars.union(cur.select("v", F.col("v").alias("root")).distinct()), path
 
 
 def place_of(df: DataFrame) -> tuple[Column, Column]:
@@ -99,73 +135,100 @@ def located(df: DataFrame, *columns) -> DataFrame | None:
         return None
 
 
-def drop_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """df without the rows at the places in gone(file, pos), all columns kept and nothing of df shuffled.
+def looked_up(df: DataFrame, places: DataFrame, names: tuple[str, ...], as_: str) -> DataFrame | None:
+    """df with a struct of longs for each row at a place in places(file, pos, *names), null elsewhere; None if there are no places.
 
-    Only places are dealt, by file, and become deletion vectors in the shared folder: a bit for each row of a stretch
-    of a file. Reading df again, each task looks up the vectors of the files that it reads.
+    Nothing of df is shuffled. Only places are dealt, by file, and become files in the shared folder: the sorted
+    places and values of a stretch of one of df's files. Reading df again, each task looks up what it reads. Each
+    place may be listed once.
     """
     spark = df.sparkSession
-    folder = scratch(spark, "gone")
+    folder = scratch(spark, "places")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = len(names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        key, bits, done = None, None, 0
+        key, held, done = None, [], 0
 
         def close() -> None:
             part = f"{base}/{uuid.uuid4().hex}.part"  # appears whole; a task that runs again writes the same
             with fs.open_output_stream(part, compression=None) as f:
-                f.write(zlib.compress(np.packbits(bits).tobytes()))
+                f.write(zlib.compress(np.concatenate(held, 1).astype("<i8").tobytes(), 1))
             fs.move(part, f"{base}/{key[0]}-{key[1]}")
 
         for b in batches:
-            files, chunks, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cut = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (chunks[1:] != chunks[:-1])]) if len(files) else []
-            for i, j in zip(cut, [*cut[1:], len(files)]):
-                own = (int(files[i]), int(chunks[i]))
+            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3 + k)]) if b.num_rows else np.empty((3 + k, 0), np.int64)
+            cut = np.flatnonzero(np.r_[True, (cols[0, 1:] != cols[0, :-1]) | (cols[1, 1:] != cols[1, :-1])]) if b.num_rows else []
+            for i, j in zip(cut, [*cut[1:], b.num_rows]):
+                own = (int(cols[0, i]), int(cols[1, i]))
                 if own != key:
                     if key is not None:
                         close()
-                    key, bits = own, np.zeros(VECTOR_ROWS, bool)
+                    key, held = own, []
                     done += 1
-                bits[at[i:j]] = True
+                held.append(cols[2:, i:j])
         if key is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["vectors"])
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
 
-    places = gone.select("file", F.shiftright("pos", 20).alias("chunk"), F.col("pos").bitwiseAND(VECTOR_ROWS - 1).alias("at"))
-    made = places.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk").mapInArrow(write, "vectors long")
-    if not made.agg(F.sum("vectors")).first()[0]:
-        return df
+    dealt = places.select("file", F.shiftright("pos", 20).alias("chunk"), F.col("pos").bitwiseAND(CHUNK_ROWS - 1).alias("at"), *[F.col(c).cast("long") for c in names])
+    made = dealt.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk", "at").mapInArrow(write, "files long")
+    if not made.agg(F.sum("files")).first()[0]:
+        return None
+
+    kind = ", ".join(f"{c}: bigint" for c in names or ("there",))
 
-    @F.pandas_udf("boolean")
-    def stays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"struct<{kind}>")
+    def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        vectors: dict[tuple[int, int], np.ndarray | None] = {}
+        kept: dict[tuple[int, int], np.ndarray | None] = {}
+        rows = 0
 
-        def vector(key: tuple[int, int]) -> np.ndarray | None:
-            if key not in vectors:
-                if len(vectors) >= 64:
-                    vectors.clear()
+        def listed(key: tuple[int, int]) -> np.ndarray | None:
+            nonlocal rows
+            if key not in kept:
                 path = f"{base}/{key[0]}-{key[1]}"
                 if fs.get_file_info(path).type == pafs.FileType.NotFound:
-                    vectors[key] = None
+                    kept[key] = None
                 else:
                     with fs.open_input_file(path) as f:
-                        vectors[key] = np.frombuffer(zlib.decompress(f.read()), np.uint8)
-            return vectors[key]
+                        got = np.frombuffer(zlib.decompress(f.read()), "<i8").reshape(1 + k, -1)
+                    if rows + got.shape[1] > 2 * CHUNK_ROWS:
+                        kept.clear()
+                        rows = 0
+                    kept[key], rows = got, rows + got.shape[1]
+            return kept[key]
 
         for file, pos in batches:
-            f, p = file.to_numpy(), pos.to_numpy()
-            keep = np.ones(len(f), bool)
+            f, p = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (file, pos))
+            out, there = np.zeros((max(k, 1), len(f)), np.int64), np.zeros(len(f), bool)
             for own in {*zip(f.tolist(), (p >> 20).tolist())}:
-                v = vector(own)
-                if v is not None:
+                got = listed(own)
+                if got is not None:
                     here = np.flatnonzero((f == own[0]) & (p >> 20 == own[1]))
-                    at = p[here] & (VECTOR_ROWS - 1)
-                    keep[here] = (v[at >> 3] >> (7 - (at & 7)) & 1) == 0
-            yield pd.Series(keep)
+                    want = p[here] & (CHUNK_ROWS - 1)
+                    at = np.minimum(np.searchsorted(got[0], want), got.shape[1] - 1)
+                    hit = got[0, at] == want
+                    there[here] = hit
+                    if k:
+                        out[:, here[hit]] = got[1:, at[hit]]
+            yield pa.StructArray.from_arrays([pa.array(c) for c in out], list(names or ("there",)), mask=pa.array(~there))
+
+    return df.withColumn(as_, look(*place_of(df)))
+
 
-    return df.where(stays(*place_of(df)))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def drop_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """df without the rows at the places in gone(file, pos), all columns kept and nothing of df shuffled."""
+    own = free_name(df, "gone")
+    found = looked_up(df, gone, (), own)
+    return df if found is None else found.where(F.col(own).isNull()).drop(own)

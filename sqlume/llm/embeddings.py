@@ -195,7 +195,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         *cell, "square.qb", "square.ob", (F.col("home") & (F.col("square.qb") == F.col("mine"))).alias("home"), (F.col("square.ob") == F.col("mine")).alias("offered"), "rep", "n", "vec")
     found = dealt.groupBy(*cell, "qb", "ob").applyInArrow(_search(cosine, WIDTH, least, block), "rep long, links long, other long")
     found, _ = materialize(found, "found")
-    roots = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    roots, _ = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select(*key, "rep", "n").join(links, "rep", "left").join(roots, F.col("rep") == F.col("v"), "left")
     named, _ = materialize(named.select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), F.lit(True).alias("fit")), "named")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlume.llm.common import connected_components, drop_rows, located, materialize
+from sqlume.llm.common import connected_components, local_stars, materialize, remove
 
 SEED = 42
 FANOUT = 16
@@ -48,18 +48,15 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) for every row, fp holding the 64 bits as a signed long; where docs reads files, also each row's place (file, pos)."""
-    own = (F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    src = located(docs, *own)
-    names = ["file", "pos", "doc_id"] if src is not None else ["doc_id"]
-    src = src if src is not None else docs.select(*own)
+    """(doc_id long, fp long) for every row, fp holding the 64 bits as a signed long."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(len(names))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return src.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "fp")))
+    return src.mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -70,29 +67,42 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(words: np.ndarray) -> np.ndarray:
+    """Places of fingerprints of several words (rows) in Gray order: a word's rank is turned round after words of odd rank."""
+    ranks, odd = [], np.zeros(len(words), np.uint64)
+    for col in words.T:
+        r = gray_rank(col) ^ (np.uint64(0) - odd)
+        ranks.append(r)
+        odd = r & np.uint64(1)
+    return np.lexsort(ranks[::-1])
+
+
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints sorted by Gray rank."""
+    """Hierarchical index over distinct fingerprints, rows of one or more 64-bit words, sorted by Gray rank."""
 
     def __init__(self, words: np.ndarray, fanout: int = FANOUT) -> None:
-        self.order = np.argsort(gray_rank(words), kind="stable")
+        words = words.reshape(len(words), -1)
+        self.order = gray_order(words)
         self.fanout = fanout
         leaf = words[self.order]
-        self.levels = [(leaf, np.full(len(leaf), ~np.uint64(0)))]
+        self.levels = [(leaf, np.full(leaf.shape, ~np.uint64(0)))]
         while len(self.levels[-1][0]) > 1:
             pat, mask = self.levels[-1]
             cut = np.arange(0, len(pat), fanout)
-            first = np.repeat(pat[cut], np.diff(np.append(cut, len(pat))))
-            varied = np.bitwise_or.reduceat((pat ^ first) | ~mask, cut)
+            first = np.repeat(pat[cut], np.diff(np.append(cut, len(pat))), axis=0)
+            varied = np.bitwise_or.reduceat((pat ^ first) | ~mask, cut, axis=0)
             self.levels.append((pat[cut] & ~varied, ~varied))
 
     def search(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields blocks of (query position, word position) with at most ``limit`` differing bits."""
+        queries = queries.reshape(len(queries), -1)
         for at in range(0, len(queries), 256):
             q = np.arange(at, min(at + 256, len(queries)))
             n = np.zeros(len(q), np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 pat, mask = self.levels[depth]
-                near = np.bitwise_count((queries[q] ^ pat[n]) & mask[n]) <= limit  # differences so far, on shared bits
+                apart = np.bitwise_count((queries[q] ^ pat[n]) & mask[n])
+                near = (apart[:, 0] if apart.shape[1] == 1 else apart.sum(1, dtype=np.int32)) <= limit  # differences so far, on shared bits
                 q, n = q[near], n[near]
                 if depth:
                     below = len(self.levels[depth - 1][0])
@@ -108,33 +118,19 @@ def local_roots(words: np.ndarray, limit: int) -> np.ndarray:
     if len(words) < 2:
         return label
     for i, j in GrayIndex(words).search(words, limit):
-        a, b = label[i], label[j]
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if parent:
-            to = np.arange(len(words))
-            for x in parent:
-                to[x] = find(x)
-            label = to[label]
+        moved, to = local_stars(label[i], label[j])
+        if len(moved):
+            new = np.arange(len(words))
+            new[moved] = to
+            label = new[label]
     return label
 
 
-def _link_buckets(limit: int):
-    """Maps rows (path, key, fp, rep) sorted by bucket to star edges (a, b) between representatives."""
+def bucket_linker(limit: int, width: int = 1):
+    """Maps rows (part, key, ``width`` words, rep) sorted by bucket (part, key) to star edges (a, b) between representatives."""
 
-    def edges(path: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list, list]:
-        cut = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
+    def edges(part: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list, list]:
+        cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.append(cut, len(fp)))
         a, b = [], []
         small = np.repeat(size <= FANOUT, size)  # one leaf: its words are compared as they lie
@@ -143,7 +139,7 @@ def _link_buckets(limit: int):
             i = np.flatnonzero(small[s:] & (group[s:] == group[:-s]))
             if not len(i):
                 break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + s]) <= limit]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + s]).sum(1, dtype=np.int32) <= limit]
             a.append(rep[i + s]), b.append(rep[i])
         for g in np.flatnonzero(size > FANOUT):
             own = slice(cut[g], cut[g] + size[g])
@@ -153,7 +149,7 @@ def _link_buckets(limit: int):
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 4
+        kept = [np.empty(0, np.int64)] * (3 + width)
         for batch in batches:
             cols = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
             if not len(cols[0]):
@@ -166,7 +162,7 @@ def _link_buckets(limit: int):
 
     def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(cols[0]):
-            a, b = edges(cols[0], cols[1], cols[2].view(np.uint64), cols[3])
+            a, b = edges(cols[0], cols[1], np.stack(cols[2:-1], 1).view(np.uint64), cols[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
 
     return run
@@ -206,7 +202,7 @@ def link_edges(nodes: DataFrame, max_distance: int = 3, bucket_limit: int = BUCK
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found, p = materialize(
             cold.select("path", "key", "fp", "rep").repartition(n, "path", "key").sortWithinPartitions("path", "key", "fp")
-            .mapInArrow(_link_buckets(max_distance), "a long, b long"), "links")
+            .mapInArrow(bucket_linker(max_distance), "a long, b long"), "links")
         parts.append(found)
         paths.append(p)
         if hot is None:
@@ -221,10 +217,11 @@ def link_edges(nodes: DataFrame, max_distance: int = 3, bucket_limit: int = BUCK
 def grouped(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, bucket_limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The fingerprints of all rows with component_id, the smallest doc_id of the group."""
     marks, _ = materialize(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
-    nodes, _ = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    edges, _ = link_edges(nodes.where("rep is not null"), max_distance, bucket_limit)
-    roots = connected_components(edges)
+    nodes, at = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    edges, paths = link_edges(nodes.where("rep is not null"), max_distance, bucket_limit)
+    roots, path = connected_components(edges)
     named, _ = materialize(nodes.join(roots, nodes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
+    remove(docs.sparkSession, at, path, *paths)
     return marks.join(named, "fp")
 
 
@@ -240,22 +237,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int =
     found = grouped(docs, shingle_words, max_distance, bucket_limit, id_col, text_col)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of every group, that of the smallest id, with all columns.
-
-    Of rows that repeat an id the first in the files stays. A document without an id goes if its group has one with an
-    id, else the first of its fingerprint stays. An empty table stays empty. Rows are told apart by their places in
-    files, so that the texts are read twice but never shuffled; docs that do not read files are written to the shared
-    folder first.
-    """
-    if located(docs) is None:
-        docs, _ = materialize(docs, "documents")
-    found, _ = materialize(grouped(docs, id_col=id_col, text_col=text_col, **options), "groups")
-    place = F.struct("file", "pos")
-    others = found.where("component_id is not null and not doc_id <=> component_id").select("file", "pos")
-    heads = found.where("doc_id = component_id or component_id is null")
-    key = F.coalesce("doc_id", "fp")
-    again = heads.groupBy(key.alias("k"), F.col("component_id").isNull().alias("lone")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = heads.join(again, (key == F.col("k")) & (F.col("component_id").isNull() == F.col("lone"))).where(place != F.col("first")).select("file", "pos")
-    return drop_rows(docs, others.union(again))

@@ -7,9 +7,9 @@ pytest.importorskip("corpus_pipeline")
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline  # noqa: E402
-from sqlume.llm import decontam, packing, simhash, toxicity  # noqa: E402
+from sqlume.llm import decontam, packing, toxicity  # noqa: E402
 from test_packing import hold  # noqa: E402
-from test_simhash import brute as groups  # noqa: E402
+from test_nearcopies import kept as heads  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -32,7 +32,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         if name == "toxicity":
             want = {r.doc_id for r in rows if model.at_least(__import__("numpy").array([model.scorer()(r.text)]))[0, 0] < toxicity.REJECT_AT}
         elif name == "simhash":
-            want = {i for i, _, c in groups([(r.doc_id, r.text) for r in rows]) if i == c}
+            want = set(heads([(r.doc_id, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]))
         elif name == "decontamination":
             texts = {r.doc_id: " ".join(decontam.words_of(r.text)) for r in rows}
             exact = {i for i, t in texts.items() if any(" ".join(ws) in t for _, ws in items)}
@@ -68,9 +68,3 @@ def test_stages_take_all_kinds_of_rows(spark, tmp_path, rows, on_files):
             # null and empty text are one group, the three rows of "a b c d" another
             assert out.count() == (3 if rows and name == "simhash" else len(rows))
 
-
-def test_one_each_tells_repeated_rows_apart(spark, tmp_path):
-    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "q r s"), (None, "q r s"), (7, "other words here"), (5, "a b c"), (9, None), (10, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    out = simhash.one_each(spark.read.parquet(str(tmp_path / "d"))).collect()
-    assert sorted(((r.doc_id or 0), r.text or "") for r in out) == [(0, "q r s"), (1, "a b c"), (7, "other words here"), (9, "")]
