@@ -73,8 +73,10 @@ def _bucket(n: float, edges: tuple) -> int:
 
 
 def _shape(tok: str) -> str:
+    """Classes of characters in turn, repetitions once; a long sequence counts by the classes it has."""
     s = _LETTERS.sub("a", _CAPITALS.sub("A", tok))
-    return _AGAIN.sub(r"\1", _SIGNS.sub("-", _DIGITS.sub("0", s)))[:10]
+    s = _AGAIN.sub(r"\1", _SIGNS.sub("-", _DIGITS.sub("0", s)))
+    return s if len(s) <= 10 else "mixed" + "".join(sorted(set(s)))
 
 
 def token_features(tok: str) -> tuple[list[str], list[str]]:
@@ -83,7 +85,7 @@ def token_features(tok: str) -> tuple[list[str], list[str]]:
     n = len(core)
     word = bool(_WORD.match(tok))
     lower, upper, digit = core != core.upper(), core != core.lower(), bool(_DIGIT.search(core))
-    turns = 0 if word else len(_TURN.findall(core[:64]))
+    turns = 0 if word else len(_TURN.findall(core))
     key = bool(_KEYWORD.search(tok))
     shape = "w" if word else _shape(tok)
     length = _bucket(n, (4, 8, 12, 16, 20, 24, 32, 40, 64, 100))
@@ -92,10 +94,10 @@ def token_features(tok: str) -> tuple[list[str], list[str]]:
     if word:
         own.append("word")
     else:
-        count = Counter(core[:256]).values()
-        total = min(n, 256) or 1
+        count = Counter(core).values()
+        total = n or 1
         entropy = math.log2(total) - sum(c * math.log2(c) for c in count) / total
-        own += [f"turns={_bucket(turns / max(1, min(n, 64)), (0.1, 0.2, 0.3, 0.4, 0.5))}", f"entropy={_bucket(entropy, (2, 2.6, 3, 3.4, 3.8, 4.2, 4.6))}"]
+        own += [f"turns={_bucket(turns / max(1, n), (0.1, 0.2, 0.3, 0.4, 0.5))}", f"entropy={_bucket(entropy, (2, 2.6, 3, 3.4, 3.8, 4.2, 4.6))}"]
     if random_:
         own += ["random", f"random&len={length}"]
     if m := _PREFIX.match(tok):
@@ -323,7 +325,8 @@ class Tagger:
                 k = self.alike[like] = self._add(tok, False, False)
         else:
             k = self._add(tok, not _plain(tok), bool(_KEYWORD.search(tok)))
-        self.row[tok] = k
+        if len(tok) <= 256:
+            self.row[tok] = k
         return k
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -331,7 +334,7 @@ class Tagger:
         toks = text.split()
         if not toks:
             return []
-        if len(self.row) > self.cache:
+        if self.used > self.cache:
             self._reset()
         get = self.row.get
         idx = [get(t, -1) for t in toks]
@@ -384,10 +387,9 @@ class Tagger:
 
 
 def all_spans(text: str, tagger: Tagger) -> list[tuple[int, int, str]]:
-    """Base spans and those that the field adds where no base span lies, by start, then kind as listed."""
-    base = base_spans(text)
-    more = [(a, b, "crf") for a, b in tagger.spans(text) if not any(a < y and x < b for x, y, _ in base)]
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    """Base spans and all that the field finds, which may overlap them, by start, then kind as listed."""
+    found = base_spans(text) + [(a, b, "crf") for a, b in tagger.spans(text)]
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -397,8 +399,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) per document.
 
-    Spans are code points, end exclusive; those of the field are left out where they touch a base span. Null texts
-    count as empty; repeated rows and null ids keep their rows; an empty table gives none; other columns are ignored.
+    Spans are code points, end exclusive; those of the field are added to the base spans, which they may overlap. Null
+    texts count as empty; repeated rows and null ids keep their rows; an empty table gives none; other columns are ignored.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"]
 
