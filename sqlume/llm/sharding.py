@@ -14,6 +14,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlume.llm.common import free_name
+
 TABLE_SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -45,14 +47,16 @@ def shard(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int =
     """df with its key's slot and the owning shard's number.
 
     Null keys count as the empty string; repeated rows and equal keys share a shard; an empty table stays empty.
-    Columns of df named like the two new ones are replaced.
+    All columns of df stay, the key too, whatever their names: a new column whose name is taken gets an underscore more.
     """
     spark = df.sparkSession
+    slot_col = free_name(df, slot_col)
+    shard_col = free_name(df.withColumn(slot_col, F.lit(0)), shard_col)
     table = spark.sql(f"SELECT posexplode(from_json('{json.dumps(lookup_table(tuple(shards), size))}', 'array<int>')) AS (`{slot_col}`, `{shard_col}`)")
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     slot = (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % size).cast("int")
-    df = df.drop(slot_col, shard_col).withColumn(slot_col, slot)
-    return df.join(F.broadcast(table), slot_col)
+    df = df.withColumn(slot_col, slot)
+    return df.join(F.broadcast(table), slot_col).select(*[F.col(f"`{c}`") for c in (*df.columns, shard_col)])
 
 
 def oracle(key: str, table: str, shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> str:

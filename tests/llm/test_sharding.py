@@ -29,7 +29,20 @@ def test_placement_matches_brute_force(spark):
         slot = int(hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:15], 16) % 101
         want.append((i, t, slot, table[slot]))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(((r.doc_id, r.text, r.slot, r.shard) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert out.columns == ["doc_id", "text", "slot", "shard", "slot_", "shard_"]  # no column of the input is lost
+    assert sorted(((r.doc_id, r.text, r.slot_, r.shard_) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert {(r.slot, r.shard) for r in out.collect()} == {(1, 2)}
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
     assert sharding.shard(spark.createDataFrame([], schema), "doc_id", names, 101).count() == 0
+
+
+def test_keys_named_like_the_new_columns(spark):
+    df = spark.createDataFrame([(i, i + 1, i + 2) for i in range(30)], "slot int, SHARD int, doc_id int")
+    names, table = ("a", "b", "c"), sharding.lookup_table(("a", "b", "c"), 101)
+    for key in ("slot", "SHARD", "shard"):
+        out = sharding.shard(df, key, names, 101)
+        assert out.columns == ["slot", "SHARD", "doc_id", "slot_", "shard_"]
+        for r in out.collect():
+            slot = int(hashlib.md5(str(r["slot" if key == "slot" else "SHARD"]).encode()).hexdigest()[:15], 16) % 101
+            assert (r.slot_, r.shard_) == (slot, table[slot])
