@@ -6,12 +6,12 @@ import re
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without any page text of their own.
-DROPPED = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea datalist xmp noembed noframes".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+#: Elements without any page text of their own: scripts and styles, what stands in for them, what the head holds, and fields of forms.
+DROPPED = frozenset("script style template noscript head title iframe select textarea datalist noembed noframes".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 _ENDS_P = BLOCK - frozenset("tr td th tbody thead tfoot caption body html button legend summary".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -92,7 +92,7 @@ def parse(html: str | None) -> Node:
                     at = at + 1 if at >= 0 else len(html)
                 block.parts.append(" ") if tag not in ("script", "style") else None
                 continue
-            if m[3].endswith("/>") and tag in ("svg", "math", "path"):
+            if m[3].endswith("/>") and any(t in ("svg", "math") for t in (tag, *(t for t, _ in stack))):
                 continue
             if tag in ("html", "body") and any(t == tag for t, _ in stack):
                 continue
@@ -115,6 +115,14 @@ def parse(html: str | None) -> Node:
                     tokens = frozenset(own)
                 child = Node(tag, tokens, block, mark)
                 block.parts.append(child)
+                if tag == "xmp":  # what it holds is text, whatever it looks like
+                    close = re.compile(r"</xmp[\s/>]", re.I).search(html, at)
+                    end = close.start() if close else len(html)
+                    if not any(t in DROPPED for t, _ in stack):
+                        child.parts.append(html[at:end])
+                    at = html.find(">", end) + 1 if close else len(html)
+                    at = at or len(html)
+                    continue
                 stack.append((tag, child))
             else:
                 stack.append((tag, block))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,9 @@ _GROUPS = {
 }
 _GROUP_AT = {w: i for i, ws in enumerate(_GROUPS.values()) for w in ws}
 _N = len(_GROUPS)
-_WIDTH = len(TAGS) + len(_TOKEN_LIST) + len(_NUMBERS) + 2 * _N
+#: Tokens that are not listed count by a hash.
+_HASHED = 32
+_WIDTH = len(TAGS) + len(_TOKEN_LIST) + len(_NUMBERS) + 2 * _N + _HASHED
 
 
 def _log(n: float) -> int:
@@ -108,6 +111,8 @@ def blocks_of(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
         for t in node.tokens:
             if t in _TOKEN_AT:
                 x[i, len(TAGS) + _TOKEN_AT[t]] = 1
+            else:
+                x[i, _WIDTH - _HASHED + zlib.crc32(t.encode()) % _HASHED] = 1
             if t in _GROUP_AT:
                 mine |= 1 << _GROUP_AT[t]
         up = above[u] if u >= 0 else 0

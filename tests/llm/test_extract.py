@@ -73,3 +73,13 @@ def test_rows_of_all_kinds(spark):
     by = {r.page_id: r for r in rows}
     assert by[None].text == by[1].text == "" and by[2].text == odd[2] and by[2].url is None and by[9].n_chars == 499_999
     assert extract.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_text_of_embedded_elements_is_kept_and_unlisted_tokens_count():
+    model = extract.trained()
+    page = ("<html><body><article><h1>One title of it</h1><p>Some words before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and after.</p><xmp>if a < b && <c> then</xmp>"
+            "<p>A <svg viewBox='0 0 1 1'><path d='M0'/><text>label</text></svg> drawn here.</p><p><object data=a><b>instead</b> of it</object></p><video><p>No video player here</p></video></article></body></html>")
+    assert extract.main_text(page, model).split("\n") == ["One title of it", "Some words before x=2 and after.", "if a < b && <c> then", "A label drawn here.", "instead of it", "No video player here"]
+    _, _, a = extract.blocks_of(dom.parse("<div class='zzunseen'>x</div>"))
+    _, _, b = extract.blocks_of(dom.parse("<div>x</div>"))
+    assert (a != b).any()
