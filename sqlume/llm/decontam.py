@@ -7,22 +7,30 @@ which may hold substituted words. A document overlaps an item where such a stret
 (or the whole item, where that is shorter) of which a share of ``min_share`` or more agree. Items of under
 ``MIN_ITEM_WORDS`` words are looked for whole and word for word, by one hash of their words.
 
-The benchmark is read in blocks of bounded size; each block's index is broadcast and the documents are scanned once
-for each block, so no size of benchmark overfills an executor and documents are never shuffled.
+The benchmark's hash tables are built on the executors in blocks of bounded size and written to the shared folder. The
+documents are scanned once: each batch of them is joined with one block after the other, which a worker reads when
+it gets there, so no size of benchmark overfills an executor or passes through the driver, and documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlume.llm.common import materialize, remove, scratch
+
 #: Windows of up to ten words, six of which count: some window of a stretch of 13 words or more is hit whichever fifth is substituted.
 MASKS = ("111111", "1101011001", "111001011", "1011000111", "1110001011")
 #: The same for whole items of 8 to 12 words.
@@ -141,21 +149,48 @@ def best_stretch(same: np.ndarray, min_share: float) -> tuple[int, int, int] | N
     return None if best is None else (*best, int(same[best[0] : best[1]].sum()))
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[SeedIndex]:
-    """Indexes of the benchmark's items, each over at most block_words words (or one item)."""
-    items, n = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
-    for item_id, text in rows.toLocalIterator():
-        ws = words_of(text)
-        if not ws:
-            continue
-        if items and n + len(ws) > block_words:
-            yield SeedIndex(items)
-            items, n = [], 0
-        items.append((item_id, ws))
-        n += len(ws)
-    if items:
-        yield SeedIndex(items)
+def write_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[str]:
+    """Writes the indexes of the benchmark's items, each over at most block_words words (or one item); gives their paths, one for each block."""
+    spark = benchmark.sparkSession
+    folder = scratch(spark, "benchmark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        items, n, names = [], 0, []
+
+        def close() -> None:
+            name = uuid.uuid4().hex
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(zlib.compress(pickle.dumps(SeedIndex(items)), 1))
+            names.append(name)
+
+        for b in batches:
+            for item_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ws = words_of(text.as_py())
+                if not ws:
+                    continue
+                if items and n + len(ws) > block_words:
+                    close()
+                    items, n = [], 0
+                items.append((item_id, ws))
+                n += len(ws)
+        if items:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    made, path = materialize(rows.mapInArrow(run, "name string"), "blocks")  # of tasks that run again only those listed count
+    names = [f"{folder}/{r[0]}" for r in made.orderBy("name").collect()]
+    remove(spark, path)
+    return names
+
+
+@functools.lru_cache(2)
+def read_block(path: str) -> SeedIndex:
+    fs, at = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(at) as f:
+        return pickle.loads(zlib.decompress(f.read()))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block_words: int = BLOCK_WORDS,
@@ -166,13 +201,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     document. Null and empty texts overlap with nothing, nor do items without words. Repeated
     documents and items each give their rows. Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = write_blocks(benchmark, item_col, item_text_col, block_words)
 
-    def scan(index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix: SeedIndex = index.value
-            for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in blocks:
+                ix = read_block(path)
                 for at in range(0, b.num_rows, _ROWS):
                     part = b.slice(at, _ROWS)
                     words, starts = ix.codes(t.as_py() for t in part.column(1))
@@ -183,13 +218,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
                         [pa.array([r[c] for r in rows], pa.float64() if c == 5 else pa.int64()) for c in range(6)],
                         ["doc_id", "item_id", "doc_start", "n_words", "n_agree", "share"])
 
-        return src.mapInArrow(run, SCHEMA)
-
-    out = None
-    for index in blocks_of(benchmark, item_col, item_text_col, block_words):
-        found = scan(spark.sparkContext.broadcast(index))
-        out = found if out is None else out.union(found)
-    return out if out is not None else src.where("false").selectExpr("doc_id", "doc_id as item_id", "doc_id as doc_start", "doc_id as n_words", "doc_id as n_agree", "0d as share")
+    return src.mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block_words: int = BLOCK_WORDS,
@@ -199,19 +228,25 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
     Null and empty texts stay; so does everything where the benchmark is empty. Repeated rows are judged alike.
     """
 
-    def hit(index):
-        @F.pandas_udf("boolean")
-        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            ix: SeedIndex = index.value
-            for s in batches:
-                out = np.zeros(len(s), bool)
-                for at in range(0, len(s), _ROWS):
-                    words, starts = ix.codes(s.iloc[at : at + _ROWS])
-                    out[[at + d for d, *_ in ix.overlaps(words, starts, min_words, min_share)]] = True
-                yield pd.Series(out)
-
-        return found(F.col(text_col).cast("string"))
-
-    for index in blocks_of(benchmark, item_col, item_text_col, block_words):
-        docs = docs.where(~hit(docs.sparkSession.sparkContext.broadcast(index)))
-    return docs
+    blocks = write_blocks(benchmark, item_col, item_text_col, block_words)
+    if not blocks:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def clear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            left = np.arange(len(s))
+            for path in blocks:
+                ix, kept = read_block(path), []
+                for at in range(0, len(left), _ROWS):
+                    own = left[at : at + _ROWS]
+                    words, starts = ix.codes(s.iloc[own])
+                    hit = np.zeros(len(own), bool)
+                    hit[[d for d, *_ in ix.overlaps(words, starts, min_words, min_share)]] = True
+                    kept.append(own[~hit])
+                left = np.concatenate(kept) if kept else left
+            out = np.zeros(len(s), bool)
+            out[left] = True
+            yield pd.Series(out)
+
+    return docs.where(clear(F.col(text_col).cast("string")))

@@ -13,7 +13,9 @@ def brute(docs, items):
     found = {}
     for (d, t), (k, u) in itertools.product(docs, items):
         a, b = decontam.words_of(t), decontam.words_of(u)
-        if len(b) < decontam.MIN_ITEM_WORDS:
+        if len(b) < decontam.MIN_ITEM_WORDS:  # found whole and word for word
+            if b and any(a[i : i + len(b)] == b for i in range(len(a))):
+                found[d, k] = (len(b), len(b))
             continue
         for diag in range(-len(b) + 1, len(a)):
             lo, hi = max(0, diag), min(len(a), diag + len(b))
@@ -72,3 +74,21 @@ def test_empty_tables(spark):
     none_d, none_i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert decontam.overlaps(docs, none_i).count() == decontam.overlaps(none_d, items).count() == decontam.clean(none_d, items).count() == 0
     assert decontam.clean(docs, none_i).count() == 1
+
+
+def test_passages_anywhere_in_a_very_long_text_and_many_blocks(spark):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(40))) for i in range(6)]
+    long = [rnd.choice(words) for _ in range(200_000)]
+    for k, (_, t) in enumerate(items[:4]):
+        at = (0, 70_000, 140_000, 199_960)[k]
+        long[at : at + 40] = t.split()
+    rows = [(1, " ".join(long)), (2, "x" * 2_000_000), (3, items[5][1])]
+    docs, right = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    assert len(decontam.write_blocks(right, block_words=40)) == 6
+    for block in (200_000, 40):
+        got = {(r.doc_id, r.item_id, r.doc_start, r.n_words, r.n_agree) for r in decontam.overlaps(docs, right, block_words=block).collect()}
+        assert got == {(1, 0, 0, 40, 40), (1, 1, 70_000, 40, 40), (1, 2, 140_000, 40, 40), (1, 3, 199_960, 40, 40), (3, 5, 0, 40, 40)}
+        assert [r.doc_id for r in decontam.clean(docs, right, block_words=block).collect()] == [2]
+    assert decontam.overlaps(docs, right, block_words=40)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
