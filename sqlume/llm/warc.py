@@ -2,9 +2,14 @@
 
 Pages are written as WARC records, each a gzip member of its own, one archive file per input partition. Pages whose
 payloads are equal are written once; the others become revisit records that refer to it. The index sorts captures by
-a key of the reversed host and the path, so that a site's captures lie together: lines go into compressed blocks, and
-a sparse directory keeps each block's first key and place. A lookup searches the directory by bisection, reads one
-block's range, finds the line by bisection, and reads the record's range from its archive.
+a key of the reversed host and the path, so that a site's captures lie together: it is written in ranges of keys, each
+a file of compressed blocks of lines and a file with its sparse directory, the blocks' first keys and places. A lookup
+finds the range among the ranges' first keys, the block in its directory and the line in the block, each by bisection,
+and reads only that directory, that block and the record. The list of ranges has a row for each task that wrote some, and goes to all tasks;
+directories and blocks are read where they are needed. Pages are looked up in the order of their keys, on all executors.
+
+Only digests and places are dealt to find equal payloads; which page a page refers to is looked up by place, so
+that no payload is shuffled.
 
 Files have names of their own for every task attempt and only those in the materialised manifest are read, so tasks
 that run again leave nothing wrong. Files go through Arrow's file systems to the shared folder.
@@ -14,20 +19,22 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import hashlib
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlume.llm.common import materialize, scratch
+from sqlume.llm.common import free_name, located, looked_up, materialize, remove, scratch
 
 MIN_BYTES = 0
 BLOCK_LINES = 3_000
@@ -99,12 +106,16 @@ def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, date: str = DATE,
                    id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives; gives the manifest: one row per record with its key, file, offset and length."""
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sums = src.select("page_id", F.sha1("payload").alias("sum"), F.length("payload").alias("size"))
-    many = sums.where(F.col("size") >= min_bytes).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    many, _ = materialize(many.where("n > 1 and first is not null").select("sum", "first"), "payloads")
-    todo = src.withColumn("sum", F.sha1("payload")).join(many, "sum", "left").select(
-        "page_id", "url", "payload", F.when((F.length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    own = (F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    if located(pages) is None:
+        pages, _ = materialize(pages.select(F.col(id_col), F.col(url_col), F.col(html_col)), "pages")
+    sums, sums_at = materialize(located(pages, own[0], F.sha1(own[2]).alias("sum"), F.length(own[2]).alias("size")).where(F.col("size") >= min_bytes).drop("size"), "sums")
+    many, many_at = materialize(sums.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("sum", "refers_to"), "payloads")
+    places = sums.join(many, "sum").where("not page_id <=> refers_to").select("file", "pos", "refers_to")
+    as_ = free_name(pages, "found")
+    found = looked_up(pages, places, ("refers_to",), as_)
+    todo = (found if found is not None else pages).select(*own, (F.col(as_)["refers_to"] if found is not None else F.lit(None).cast("long")).alias("refers_to"))
+    remove(pages.sparkSession, sums_at, many_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -135,28 +146,27 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, da
 
 
 def write_index(manifest: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sorts captures into compressed blocks; gives the sparse directory (key, id, file, offset, length, lines)."""
+    """Sorts captures into ranges of compressed blocks; gives the list of ranges (key, page_id, file, blocks), a row for each task with captures."""
     spark = manifest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "page_id", "file", "offset"]  # captures of one very common URL are split, too
-    names = ["key", "page_id", "file", "offset", "length", "lines"]
+    names = ["key", "page_id", "file", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
-        name, out, at = None, None, 0
+        name, out, at = f"{uuid.uuid4().hex}", None, 0
         lines: list[str] = []
         first: tuple = ()
-        done: list[tuple] = []
+        blocks: list[list] = []
 
         def close() -> None:
-            nonlocal out, name, at, lines
+            nonlocal out, at, lines
             if out is None:
-                name = f"{base}/{uuid.uuid4().hex}.idx"
                 fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(name, compression=None)
+                out = fs.open_output_stream(f"{base}/{name}.idx", compression=None)
             raw = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
             out.write(raw)
-            done.append((*first, name.rpartition("/")[2], at, len(raw), len(lines)))
+            blocks.append([*first, at, len(raw)])
             at, lines = at + len(raw), []
 
         try:
@@ -173,67 +183,97 @@ def write_index(manifest: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         finally:
             if out is not None:
                 out.close()
-        cols = list(zip(*done)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (0, 2) else pa.int64()) for k, c in enumerate(cols)], names)
+        if blocks:
+            with fs.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
+                f.write(zlib.compress(json.dumps(blocks).encode()))
+            row = (*blocks[0][:2], name, len(blocks))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k in (0, 2) else pa.int64()) for k, v in enumerate(row)], names)
 
     ranged = manifest.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    directory, _ = materialize(ranged.mapInArrow(run, "key string, page_id long, file string, offset long, length long, lines long"), "directory")
-    return directory
-
-
-def read_block(folder: str, file: str, offset: int, length: int) -> list[tuple[str, list]]:
-    """The lines (key, [page_id, url, record_type, digest, file, offset, length]) of one block."""
-    raw = read_range(folder, file, offset, length)
-    lines = (line.partition("\t") for line in zlib.decompress(raw).decode("utf-8", "surrogatepass").split("\n"))
-    return [(json.loads(k), json.loads(v)) for k, _, v in lines]
+    ranges, _ = materialize(ranged.mapInArrow(run, "key string, page_id long, file string, blocks long"), "ranges")
+    return ranges
 
 
-def read_range(folder: str, file: str, offset: int, length: int) -> bytes:
-    fs, base = open_fs(folder)
-    with fs.open_input_file(f"{base}/{file}") as f:
+def read_range(fs: pafs.FileSystem, path: str, offset: int, length: int) -> bytes:
+    with fs.open_input_file(path) as f:
         f.seek(offset)
         return f.read(length)
 
 
+def _order(key: str, page_id: int | None) -> tuple:
+    return key, page_id is not None, page_id or 0
+
+
 class CaptureIndex:
-    """Lookups through a directory, whose rows (one per block) are held sorted; max_blocks bounds them."""
+    """Lookups by bisection: in the list of ranges, in a range's directory, in a block. Keeps the directories and blocks read last."""
 
-    def __init__(self, folder: str, directory: DataFrame, max_blocks: int = 1_000_000) -> None:
+    def __init__(self, folder: str, ranges: list[tuple]) -> None:
         self.folder = folder
-        rows = directory.orderBy("key", "page_id", "file", "offset").limit(max_blocks + 1).collect()
-        if len(rows) > max_blocks:
-            raise ValueError(f"the directory has more than {max_blocks} blocks")
-        self.blocks = [tuple(r) for r in rows]
-        self.keys = [r[0] for r in self.blocks]
+        self.fs, self.base = open_fs(folder)
+        self.ranges = sorted((_order(r[0], r[1]), r[2]) for r in ranges)
+        self.reads = 0  # of blocks
+        self._directory = functools.lru_cache(8)(self._read_directory)
+        self._block = functools.lru_cache(8)(self._read_block)
+
+    def _read_directory(self, name: str) -> list[tuple]:
+        with self.fs.open_input_file(f"{self.base}/{name}.dir") as f:
+            return [(_order(k, i), at, n) for k, i, at, n in json.loads(zlib.decompress(f.read()))]
+
+    def _read_block(self, name: str, offset: int, length: int) -> list[tuple]:
+        """The lines (order, [page_id, url, record_type, digest, file, offset, length]) of one block."""
+        self.reads += 1
+        raw = zlib.decompress(read_range(self.fs, f"{self.base}/{name}.idx", offset, length)).decode("utf-8", "surrogatepass")
+        pairs = (line.partition("\t") for line in raw.split("\n"))
+        lines = ((json.loads(k), json.loads(v)) for k, _, v in pairs)
+        return [(_order(k, v[0]), v) for k, v in lines]
+
+    def _between(self, lo: tuple, hi: tuple) -> Iterator[list]:
+        """The lines from lo to hi, both included."""
+        first = itemgetter(0)
+        r = max(0, bisect.bisect_left(self.ranges, lo, key=first) - 1)
+        while r < len(self.ranges) and self.ranges[r][0] <= hi:
+            name = self.ranges[r][1]
+            blocks = self._directory(name)
+            b = max(0, bisect.bisect_left(blocks, lo, key=first) - 1)
+            while b < len(blocks) and blocks[b][0] <= hi:
+                lines = self._block(name, *blocks[b][1:])
+                yield from (v for _, v in lines[bisect.bisect_left(lines, lo, key=first) : bisect.bisect_right(lines, hi, key=first)])
+                b += 1
+            r += 1
+
+    def find(self, key: str, page_id: int | None) -> list[list]:
+        """The index lines of the captures of a page under a key."""
+        own = _order(key, page_id)
+        return list(self._between(own, own))
 
     def lookup(self, url: str) -> list[list]:
         """The index lines of all captures of a URL."""
         key = url_key(url)
-        at = max(0, bisect.bisect_left(self.keys, key) - 1)
-        out: list[list] = []
-        while at < len(self.blocks) and self.keys[at] <= key:
-            lines = read_block(self.folder, *self.blocks[at][2:5])
-            lo = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            hi = bisect.bisect_right(lines, key, key=lambda x: x[0])
-            out += [v for _, v in lines[lo:hi]]
-            at += 1
-        return out
+        return list(self._between((key, False, -1), (key, True, 1 << 64)))
 
     def fetch(self, line: list) -> tuple[dict[str, str], dict[str, str], bytes]:
         """The record of an index line: one range read of its archive."""
-        return parse_record(zlib.decompress(read_range(self.folder, *line[4:7]), 31))
+        return parse_record(zlib.decompress(read_range(self.fs, f"{self.base}/{line[4]}", *line[5:7]), 31))
 
 
-def captures(spark: SparkSession, folder: str, directory: DataFrame) -> DataFrame:
-    """(file, offset, length) of every line of every block."""
+def captures(requests: DataFrame, folder: str, ranges: DataFrame) -> DataFrame:
+    """(file, offset, length) of all captures of the pages in requests(key, page_id), each looked up in the index once."""
+    spark = requests.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = [tuple(r) for r in ranges.select("key", "page_id", "file").collect()]  # a row for each task that wrote a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last = CaptureIndex(folder, listed), None
         for b in batches:
-            for file, offset, length in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                rows = [v[4:7] for _, v in read_block(folder, file, offset, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(3)], ["file", "offset", "length"])
+            rows = []
+            for own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if own != last:
+                    rows += [v[4:7] for v in index.find(*own)]
+                    last = own
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(3)], ["file", "offset", "length"])
 
-    return directory.select("key", "page_id", "file", "offset", "length").mapInArrow(run, "file string, offset long, length long")
+    dealt = requests.select("key", "page_id").repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    return dealt.mapInArrow(run, "file string, offset long, length long")
 
 
 def read_archives(lines: DataFrame, folder: str) -> DataFrame:
@@ -272,14 +312,13 @@ def read_archives(lines: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES, **columns) -> DataFrame:
-    """Writes pages to archives and an index in the shared folder, then reads all captures back through the index.
+    """Writes pages to archives and an index in the shared folder, then looks every page up in the index and reads its captures back.
 
     One row (page_id, payload_bytes, payload_digest, record_type, refers_to, url) per page. A null html is an empty
     payload; pages without a URL have no target header and sort first. Of equal payloads of at least min_bytes the
     smallest page_id is the response; should it repeat, each of its rows is a response. A null page_id is never the
     smallest; payloads with no id at all are responses. An empty table gives no rows; other columns are ignored.
     """
-    spark = pages.sparkSession
-    folder = folder or scratch(spark, "warc")
-    directory = write_index(write_archives(pages, folder, min_bytes, **columns), folder)
-    return read_archives(captures(spark, folder, directory), folder)
+    folder = folder or scratch(pages.sparkSession, "warc")
+    manifest = write_archives(pages, folder, min_bytes, **columns)
+    return read_archives(captures(manifest, folder, write_index(manifest, folder)), folder)

@@ -52,16 +52,47 @@ def test_null_and_repeated_ids_and_empty_table(spark):
 def test_index_finds_every_capture_by_range_reads(spark):
     folder = scratch(spark, "warc-test")
     manifest = warc.write_archives(frame(spark, pages()), folder)
-    index = warc.CaptureIndex(folder, warc.write_index(manifest, folder, block_lines=7))
-    assert len(index.blocks) > 10 and index.keys == sorted(index.keys)
+    ranges = [tuple(r) for r in warc.write_index(manifest, folder, block_lines=7).collect()]
+    index = warc.CaptureIndex(folder, [r[:3] for r in ranges])
+    blocks = sum(r[3] for r in ranges)
+    assert len(ranges) > 2 and blocks > 15
     for url in {u for _, u, _ in pages()}:
         want = sorted(i for i, u, _ in pages() if warc.url_key(u) == warc.url_key(url))
+        before = index.reads
         lines = index.lookup(url)
-        assert sorted(x[0] for x in lines) == want
+        assert sorted(x[0] for x in lines) == want and index.reads - before <= 2 + len(want) // 7 + 1
         for x in lines:
+            assert x in index.find(warc.url_key(url), x[0])
             own, http, payload = index.fetch(x)
             assert own["x-page"] == str(x[0]) and own["warc-type"] == x[2] and (x[2] == "revisit" or len(payload) == int(http["content-length"]))
-    assert index.lookup("https://nowhere.test/") == []
+    assert index.lookup("https://nowhere.test/") == [] and index.find("aaa", 1) == [] and index.find("zzz", None) == []
+
+
+def test_lookups_in_order_read_each_block_about_once(spark):
+    folder = scratch(spark, "warc-test")
+    rows = [(i, "http://one.example/", f"p{i}") for i in range(500)]  # one very common URL over many ranges
+    manifest = warc.write_archives(frame(spark, rows), folder)
+    ranges = [tuple(r) for r in warc.write_index(manifest, folder, block_lines=20).collect()]
+    index = warc.CaptureIndex(folder, [r[:3] for r in ranges])
+    assert [x[0] for i in range(500) for x in index.find(warc.url_key("http://one.example/"), i)] == list(range(500))
+    assert len(ranges) > 2 and index.reads <= sum(r[3] for r in ranges)
+    assert len(index.lookup("http://one.example/")) == 500
+
+
+def test_no_payload_is_shuffled(spark, tmp_path):
+    frame(spark, pages()).write.parquet(str(tmp_path / "p"))
+    seen, real = [], warc.materialize
+    warc.materialize = lambda df, name: (seen.append(df), real(df, name))[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = warc.round_trip(spark.read.parquet(str(tmp_path / "p"))).collect()
+    finally:
+        warc.materialize = real
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute(pages())
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    writes = [p for p in plans if "html" in p and "MapInArrow" in p]
+    assert writes and not any(x in p for p in writes for x in ("Join", "Aggregate", "Repartition", "Sort"))
 
 
 def test_keys_and_broken_records():
