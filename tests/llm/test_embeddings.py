@@ -69,6 +69,41 @@ def test_null_ids_and_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_different_vectors_without_ids_link_like_others(spark):
+    rows = [(1, [1.0, 0.0, 0.1], 1), (None, [1.0, 0.0, 0.11], 1), (None, [1.0, 0.0, 0.12], 1), (None, [0.0, 1.0, 0.0], 1), (None, [0.0, 1.0, 0.01], 1), (7, [0.0, 0.0, 1.0], 1), (7, [0.0, 0.01, 1.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)).collect()
+    assert sorted(((r.vec_id or -1), r.n_links, r.component_id or -1, r.kept) for r in got) == [
+        (-1, 1, -1, False), (-1, 1, -1, False), (-1, 2, 1, False), (-1, 2, 1, False), (1, 2, 1, True), (7, 1, 7, True), (7, 1, 7, True)]
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 8, 64])
+def test_recall_at_the_least_cosine(dims):
+    """Pairs at cosine 0.98 share a cell and collide often enough, whatever the dimensions and the table's size."""
+    rnd, n = np.random.default_rng(dims), 4000
+    a = rnd.standard_normal((n, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rnd.standard_normal((n, dims))
+    b -= (a * b).sum(1)[:, None] * a
+    b = a if dims == 1 else 0.98001 * a + np.sqrt(1 - 0.98001**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    p = directions = embeddings.directions(dims, embeddings.PROJECTIONS)
+    hits = (np.abs((a - b) @ directions.T) <= embeddings.WIDTH * embeddings.spread(dims) + 1e-12).sum(1) >= embeddings.min_count()
+    assert len(p) == embeddings.PROJECTIONS and hits.mean() > 0.997
+    for rows in (100, 10_000, 10_000_000):
+        k, t = embeddings.tables(rows)
+        met = (embeddings.cells(a, k, t) == embeddings.cells(b, k, t)).any(1)
+        assert (met & hits).mean() > 0.99
+
+
+def test_windows_equal_dense_counts():
+    rnd = np.random.default_rng(3)
+    p, q = rnd.standard_normal((60, 9)), rnd.standard_normal((30, 9))
+    i, j = embeddings._windows(p, q, 0.8, 5)
+    want = np.nonzero((np.abs(q[:, None] - p[None]) <= 0.8).sum(2) >= 5)
+    assert np.array_equal(i, want[0]) and np.array_equal(j, want[1])
+
+
 def test_calibration():
-    assert embeddings.half_width(64) > 0 and 0 < embeddings.min_count() <= embeddings.PROJECTIONS
+    assert 0 < embeddings.min_count() <= embeddings.PROJECTIONS
     assert embeddings.min_count(recall=0.5) >= embeddings.min_count(recall=0.9999)
+    (k, t), (k2, t2) = embeddings.tables(5_000), embeddings.tables(5_000_000)
+    assert k < k2 and t < t2 < 100 * t
