@@ -2,18 +2,19 @@
 
 One weight vector is shared by all ordered thresholds: P(grade >= k) = sigmoid(w.x - theta_k). Features are words and
 word beginnings, with the logarithm of their counts as values, and the text's length; the fit is L1-regularised, so few features carry
-weight and long harmless texts gather none. The model is fitted on the driver on at most ``max_train`` labelled
-documents (chosen by a hash of their ids) and broadcast; scoring is a map over all documents.
+weight and long harmless texts gather none. The model is fitted on at most ``max_train`` labelled documents (chosen
+by a hash of their ids) and broadcast; scoring is a map over all documents. Features are counted on the executors: the
+driver gets the candidates' names and the counts of those in each text, never a text.
 
-Labels are 0 or 1. Grade 0 is label 0; documents labelled 1 get grade 1 or 2 as the features most
-associated with the label weigh less than their median among them or not.
+The ordered grades are read from the labels: 0 is not toxic, 1 is toxic, 2 is toxic and of bad quality. The labels hold no
+other order, so the expected severity tells apart no shades of toxicity beyond what these do.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlume.llm.common import materialize, remove
+
 MAX_TRAIN = 6_000
 MAX_FEATURES = 384
 MIN_DOCS = 3
@@ -90,33 +93,45 @@ class Model:
         return score
 
 
-def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
-    """The ordinal model for labelled texts; equal texts count once."""
-    once = dict(sorted({(t or ""): int(y) for t, y in zip(texts, labels)}.items()))
-    y = np.array(list(once.values()))
-    n, pos = len(y), int(y.sum())
+def feature_counts(rows: Iterable[tuple[str | None, int]], most: int = 200_000) -> Iterator[dict[str, list[int]]]:
+    """In parts: how many of the texts have a feature, and how many of those are toxic."""
+    out: dict[str, list[int]] = {}
+    for text, grade in rows:
+        for f in counts_of(text):
+            n = out.setdefault(f, [0, 0])
+            n[0] += 1
+            n[1] += grade > 0
+        if len(out) >= most:
+            yield out
+            out = {}
+    yield out
+
+
+def gain_of(k, p, n, pos):
+    """How strongly a feature of k of n texts, p of them toxic, speaks for the pos toxic ones; columns or numbers."""
+    return (p * n - k * pos) * (p * n - k * pos) / (k * pos * (n - k + 1e-9) * (n - pos))
+
+
+def fit(texts: list[str], grades: list[int], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
+    """The ordinal model for texts with grades 0, 1 or 2; equal texts count once, with the highest of their grades."""
+    once: dict[str, int] = {}
+    for t, y in zip(texts, grades):
+        once[t or ""] = max(once.get(t or "", 0), int(y))
+    n, pos = len(once), sum(y > 0 for y in once.values())
     if not pos or pos == n:
         return Model()
-    # features of few toxic texts are out from the start, so the counts stay small; texts are read again, not kept as counts
-    of_pos: Counter = Counter()
-    for t, label in once.items():
-        if label:
-            of_pos.update(counts_of(t).keys())
-    with_ = Counter({f: k for f, k in of_pos.items() if k >= MIN_DOCS})
-    of_pos = Counter(with_)
-    for t, label in once.items():
-        if not label:
-            with_.update(counts_of(t).keys() & of_pos.keys())
-    gain = {}
-    for f, k in with_.items():
-        p = of_pos[f]
-        if f != LENGTH and p / k > pos / n:
-            gain[f] = (p * n - k * pos) ** 2 / (k * pos * (n - k) * (n - pos) or 1)
+    found = next(feature_counts(once.items(), 1 << 62))
+    gain = {f: gain_of(k, p, n, pos) for f, (k, p) in found.items() if f != LENGTH and p >= MIN_DOCS and p * n > k * pos}
     names = sorted(gain, key=lambda f: (-gain[f], len(f), f))[: 4 * max_features]
+    few = {LENGTH, *names}
+    return fit_counts([({f: c for f, c in counts_of(t).items() if f in few}, y) for t, y in sorted(once.items())], names, max_features, l1, rounds)
+
+
+def fit_counts(rows: list[tuple[dict[str, int], int]], names: list[str], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
+    """The ordinal model for the counts of the named features in each text, and its grade; names in the order of their gain."""
+    bags, n = [bag for bag, _ in rows], len(rows)
     if not names:
         return Model()
-    few = {LENGTH, *names}
-    bags = [{f: c for f, c in counts_of(t).items() if f in few} for t in once]
     held: dict[str, list] = {f: [] for f in names}
     for r, bag in enumerate(bags):
         for f, c in bag.items():
@@ -132,9 +147,7 @@ def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES, l
         for f, c in bag.items():
             if f in at:
                 x[r, at[f]] = np.log1p(c)
-    sure = {f for f in names[:-1] if with_[f] == of_pos[f] and gain[f] >= gain[names[0]] / 20}
-    strong = np.array([sum(np.log1p(c) for f, c in bag.items() if f in sure) for bag in bags])
-    grade = np.where(y == 0, 0, np.where(strong < np.median(strong[y == 1]), 1, 2))
+    grade = np.array([y for _, y in rows])
     above = np.stack([grade >= k for k in range(1, GRADES)], 1).astype(np.float32)
 
     # Newton steps on both thresholds' losses at once; the L1 penalty is a ridge that is weighted anew each step
@@ -167,13 +180,42 @@ def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES, l
     return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, tuple(theta.tolist()))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most max_train labelled ids. Null ids and labels are left out; of several labels the highest counts."""
-    own = labels.select(F.col(id_col).cast("long").alias("_i"), F.col(label_col).cast("int").alias("_y")).where("_i is not null and _y is not null")
-    own = own.groupBy("_i").agg((F.max("_y") > 0).cast("int").alias("_y")).orderBy(F.xxhash64("_i"), "_i").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(own), "_i")
-    got = rows.groupBy(F.xxhash64("_t").alias("_h")).agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")).select("_t", "_y").collect()
-    return fit([r[0] for r in got], [r[1] for r in got])
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "toxic", quality_col: str = "quality") -> Model:
+    """Fits on at most max_train labelled ids. Null ids and labels are left out; of several grades of an id or text the highest counts."""
+    spark = docs.sparkSession
+    bad = F.col(quality_col).cast("int") <= 0 if quality_col.lower() in {c.lower() for c in labels.columns} else F.lit(False)
+    label = F.col(label_col).cast("int")
+    grade = F.when(label <= 0, 0).when(label.isNotNull() & bad, 2).when(label.isNotNull(), 1)
+    own = labels.select(F.col(id_col).cast("long").alias("_i"), grade.alias("_y")).where("_i is not null and _y is not null")
+    own = own.groupBy("_i").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_i"), "_i").limit(max_train)
+    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(own), "_i")
+    texts, path = materialize(texts.groupBy(F.xxhash64("_t").alias("_h")).agg(F.any_value("_t").alias("_t"), F.max("_y").alias("_y")), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((t.as_py(), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1)))
+        for part in feature_counts(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.string()), *(pa.array([c[k] for c in part.values()], pa.int64()) for k in range(2))], ["f", "k", "p"])
+
+    n, pos = texts.agg(F.count("*"), F.coalesce(F.sum((F.col("_y") > 0).cast("long")), F.lit(0))).first()
+    if not pos or pos == n:
+        remove(spark, path)
+        return Model()
+    counts = texts.select("_t", "_y").mapInArrow(count, "f string, k long, p long").groupBy("f").agg(F.sum("k").cast("double").alias("k"), F.sum("p").cast("double").alias("p"))
+    best = counts.where((F.col("f") != LENGTH) & (F.col("p") >= MIN_DOCS) & (F.col("p") * n > F.col("k") * pos)).select("f", gain_of(F.col("k"), F.col("p"), float(n), float(pos)).alias("gain"))
+    names = [r[0] for r in best.orderBy(F.desc("gain"), F.length("f"), "f").limit(4 * max_features).collect()]
+    few = {LENGTH: len(names), **{f: i for i, f in enumerate(names)}}
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [{few[f]: c for f, c in counts_of(t.as_py()).items() if f in few} for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([list(x) for x in bags], pa.list_(pa.int32())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int64()))], ["h", "y", "at", "n"])
+
+    # at most max_train rows of at most 4 * max_features + 1 counts
+    rows = texts.select("_t", "_h", "_y").mapInArrow(bag, "h long, y int, at array<int>, n array<long>").orderBy("h").collect()
+    remove(spark, path)
+    all_ = [*names, LENGTH]
+    return fit_counts([({all_[i]: c for i, c in zip(r["at"], r["n"])}, r["y"]) for r in rows], names, max_features)
 
 
 def _scores(model: Model, text: Column) -> Column:
