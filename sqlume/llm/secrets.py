@@ -296,7 +296,7 @@ def trained(seed: int = 11, rounds: int = 60, l2: float = 0.02) -> Field:
 class Tagger:
     """Decodes texts; keeps the scores of tokens seen."""
 
-    def __init__(self, field: Field, cache: int = 500_000) -> None:
+    def __init__(self, field: Field, cache: int = 150_000) -> None:
         self.field, self.cache = field, cache
         self._reset()
 

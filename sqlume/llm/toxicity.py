@@ -35,7 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
 #: Feature whose count is that of all words, so that few hits weigh less in a long text than in a short one.
 LENGTH = "#words"
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def features_of(word: str) -> list[str]:
