@@ -135,14 +135,52 @@ def located(df: DataFrame, *columns) -> DataFrame | None:
         return None
 
 
-def looked_up(df: DataFrame, places: DataFrame, names: tuple[str, ...], as_: str) -> DataFrame | None:
-    """df with a struct of longs for each row at a place in places(file, pos, *names), null elsewhere; None if there are no places.
-
-    Nothing of df is shuffled. Only places are dealt, by file, and become files in the shared folder: the sorted
-    places and values of a stretch of one of df's files. Reading df again, each task looks up what it reads. Each
-    place may be listed once.
-    """
-    spark = df.sparkSession
+class Places:
+    """Longs by place: files in the shared folder, each with the sorted places and values of a stretch of one file of a table."""
+
+    def __init__(self, folder: str, width: int) -> None:
+        self.folder, self.width = folder, width
+
+    def __getstate__(self) -> tuple:
+        return self.folder, self.width
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def _listed(self, key: tuple[int, int]) -> np.ndarray | None:
+        if not hasattr(self, "kept"):
+            (self.fs, self.base), self.kept, self.rows = pafs.FileSystem.from_uri(self.folder), {}, 0
+        if key not in self.kept:
+            path = f"{self.base}/{key[0]}-{key[1]}"
+            if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+                self.kept[key] = None
+            else:
+                with self.fs.open_input_file(path) as f:
+                    got = np.frombuffer(zlib.decompress(f.read()), "<i8").reshape(1 + self.width, -1)
+                if self.rows + got.shape[1] > 2 * CHUNK_ROWS:
+                    self.kept.clear()
+                    self.rows = 0
+                self.kept[key], self.rows = got, self.rows + got.shape[1]
+        return self.kept[key]
+
+    def look(self, file: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which places are listed, and their values: a row for each of the widths."""
+        out, there = np.zeros((self.width, len(file)), np.int64), np.zeros(len(file), bool)
+        for own in {*zip(file.tolist(), (pos >> 20).tolist())}:
+            got = self._listed(own)
+            if got is not None:
+                here = np.flatnonzero((file == own[0]) & (pos >> 20 == own[1]))
+                want = pos[here] & (CHUNK_ROWS - 1)
+                at = np.minimum(np.searchsorted(got[0], want), got.shape[1] - 1)
+                hit = got[0, at] == want
+                there[here] = hit
+                out[:, here[hit]] = got[1:, at[hit]]
+        return there, out
+
+
+def write_places(places: DataFrame, names: tuple[str, ...]) -> Places | None:
+    """The places of places(file, pos, *names), each listed once, with their values; None if there are none. They are dealt by file."""
+    spark = places.sparkSession
     folder = scratch(spark, "places")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = len(names)
@@ -175,46 +213,26 @@ def looked_up(df: DataFrame, places: DataFrame, names: tuple[str, ...], as_: str
 
     dealt = places.select("file", F.shiftright("pos", 20).alias("chunk"), F.col("pos").bitwiseAND(CHUNK_ROWS - 1).alias("at"), *[F.col(c).cast("long") for c in names])
     made = dealt.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk", "at").mapInArrow(write, "files long")
-    if not made.agg(F.sum("files")).first()[0]:
-        return None
+    return Places(folder, k) if made.agg(F.sum("files")).first()[0] else None
 
-    kind = ", ".join(f"{c}: bigint" for c in names or ("there",))
+
+def looked_up(df: DataFrame, places: DataFrame, names: tuple[str, ...], as_: str) -> DataFrame | None:
+    """df with a struct of longs for each row at a place in places(file, pos, *names), null elsewhere; None if there are no places.
+
+    Nothing of df is shuffled: reading df again, each task looks up the places of what it reads.
+    """
+    own = write_places(places, names)
+    if own is None:
+        return None
+    names = names or ("there",)
+    kind = ", ".join(f"{c}: bigint" for c in names)
 
     @F.arrow_udf(f"struct<{kind}>")
     def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        kept: dict[tuple[int, int], np.ndarray | None] = {}
-        rows = 0
-
-        def listed(key: tuple[int, int]) -> np.ndarray | None:
-            nonlocal rows
-            if key not in kept:
-                path = f"{base}/{key[0]}-{key[1]}"
-                if fs.get_file_info(path).type == pafs.FileType.NotFound:
-                    kept[key] = None
-                else:
-                    with fs.open_input_file(path) as f:
-                        got = np.frombuffer(zlib.decompress(f.read()), "<i8").reshape(1 + k, -1)
-                    if rows + got.shape[1] > 2 * CHUNK_ROWS:
-                        kept.clear()
-                        rows = 0
-                    kept[key], rows = got, rows + got.shape[1]
-            return kept[key]
-
         for file, pos in batches:
-            f, p = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (file, pos))
-            out, there = np.zeros((max(k, 1), len(f)), np.int64), np.zeros(len(f), bool)
-            for own in {*zip(f.tolist(), (p >> 20).tolist())}:
-                got = listed(own)
-                if got is not None:
-                    here = np.flatnonzero((f == own[0]) & (p >> 20 == own[1]))
-                    want = p[here] & (CHUNK_ROWS - 1)
-                    at = np.minimum(np.searchsorted(got[0], want), got.shape[1] - 1)
-                    hit = got[0, at] == want
-                    there[here] = hit
-                    if k:
-                        out[:, here[hit]] = got[1:, at[hit]]
-            yield pa.StructArray.from_arrays([pa.array(c) for c in out], list(names or ("there",)), mask=pa.array(~there))
+            there, out = own.look(*(np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (file, pos)))
+            cols = out if len(out) else [there.astype(np.int64)]
+            yield pa.StructArray.from_arrays([pa.array(c) for c in cols], list(names), mask=pa.array(~there))
 
     return df.withColumn(as_, look(*place_of(df)))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlume.llm.common import connected_components, drop_rows, free_name, located, looked_up, materialize, remove
+from sqlume.llm.common import connected_components, drop_rows, located, materialize, remove, write_places
 from sqlume.llm.simhash import bucket_linker
 
 SEED = 42
@@ -181,25 +181,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def _dealt(docs: DataFrame, text_col: str, places: DataFrame, names: tuple[str, ...], rows_of: Callable) -> DataFrame:
     """(cluster, square, c, role, grp, own): the sets of the rows at places, once for each (square, role, grp) that rows_of(c, *values) lists."""
-    as_ = free_name(docs, "found")
-    found = looked_up(docs, places, names, as_)
+    listed = write_places(places, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader().words
         for b in batches:
-            values = [b.column(k).to_pylist() for k in range(len(names))]
-            out: list[tuple] = []
-            for i, t in enumerate(b.column(len(names))):
-                own = shingles(read(t.as_py())).tobytes()
+            there, values = listed.look(*(np.asarray(b.column(k).to_numpy(zero_copy_only=False), np.int64) for k in range(2)))
+            texts, out = b.column(2), []
+            for i in np.flatnonzero(there).tolist():
+                own = shingles(read(texts[i].as_py())).tobytes()
                 c = xxhash.xxh64_intdigest(own, SEED)
                 c = c - (1 << 64) if c >> 63 else c
-                v = [x[i] for x in values]
+                v = values[:, i].tolist()
                 out += [(v[0], square, c, role, grp, own) for square, role, grp in rows_of(c, *v)]
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 5 else pa.int64()) for k, x in enumerate(cols)], ["cluster", "square", "c", "role", "grp", "own"])
 
-    kept = found.where(F.col(as_).isNotNull()).select(*[F.col(as_)[c].alias(c) for c in names], F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "cluster long, square long, c long, role long, grp long, own binary")
+    src = located(docs, F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "cluster long, square long, c long, role long, grp long, own binary")
 
 
 def _verified(dealt: DataFrame) -> DataFrame:
