@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-_BLOCKS = ("address article aside blockquote br dd div dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table title tr ul").split()
+BLOCKS = ("address article aside blockquote br dd div dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table title tr ul").split()
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -66,14 +66,27 @@ def _query_words(query: str) -> list[str]:
     return [w.lower() for w in re.findall(r"\w+", query)]
 
 
+_ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|nbsp|amp);"
+
+
+def _character(e: Column) -> Column:
+    """What an entity stands for: six names and all numbers of characters; others stay as they are."""
+    digits = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10)).when(F.substring(e, 2, 1) == "#", F.substring(e, F.lit(3), F.length(e) - 3))
+    n = digits.cast("bigint")
+    valid = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    out = F.when(F.substring(e, 2, 1) == "#", F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(e))
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        out = out.when(e == f"&{name};", F.lit(value))
+    return out
+
+
 def html_text(html: Column) -> Column:
-    """Text of HTML: comments gone, scripts and styles and block tags as line ends, other tags as spaces, entities decoded."""
+    """Text of HTML: comments gone, scripts and styles and block tags as line ends, other tags as spaces, entities decoded once."""
     x = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", "")
     x = F.regexp_replace(x, r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|\z)", "\n")
-    x = F.regexp_replace(x, rf"(?is)</?({'|'.join(_BLOCKS)})\b[^>]*>", "\n")
+    x = F.regexp_replace(x, rf"(?is)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " ")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(value))
-    x = F.replace(x, F.lit("&amp;"), F.lit("&"))
+    between, found = F.split(x, _ENTITY, -1), F.concat(F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(0)), F.array(F.lit("")))
+    x = F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e == "", "").otherwise(_character(e)))), "")
     rows = F.filter(F.transform(F.split(x, "\n"), lambda r: F.trim(F.regexp_replace(r, r"\s+", " "))), lambda r: r != "")
     return F.array_join(rows, "\n")

@@ -48,6 +48,10 @@ SQL: dict[str, tuple[str, str | None]] = {
                          "SELECT p_partkey, ROUND(p_retailprice, 1) AS r, ROUND(p_retailprice) AS s, FLOOR(p_retailprice) AS f, CEIL(p_retailprice) AS c, ABS(0 - p_retailprice) AS a, p_size AS i FROM part"),
     "json_paths": ("SELECT event_id, JSON_EXTRACT_STRING(props, '$.k') AS k, CAST(JSON_EXTRACT_STRING(props, 'k') AS BIGINT) + 1 AS n, JSON_EXTRACT_STRING(props, '$.none') AS m FROM events",
                    "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS n, json_extract_string(props, '$.none') AS m FROM events"),
+    "json_extract_typed": ("SELECT event_id, JSON_EXTRACT(props, '$.k') AS j, JSON_EXTRACT(props, 'none') AS m, JSON_EXTRACT('{\"a\": [1, {\"b\": \"x\"}]}', 'a[1]') AS n FROM events",
+                           "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS j, CAST(NULL AS VARCHAR) AS m, '{\"b\":\"x\"}' AS n FROM events"),
+    "order_of_union": ("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT s_nationkey + 100 FROM supplier ORDER BY k DESC", None),
+    "order_of_values": ("SELECT v.k, v.t FROM (VALUES (3, 'c'), (1, NULL), (2, 'b')) AS v(k, t) ORDER BY t DESC, k", "SELECT k, t FROM (VALUES (3, 'c'), (1, NULL), (2, 'b')) AS v(k, t) ORDER BY t DESC NULLS FIRST, k"),
     "group_having": ("SELECT o_custkey, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12", None),
     "group_by_ordinal_alias": ("SELECT UPPER(o_orderstatus) AS st, o_orderpriority AS pr, COUNT(*) AS n FROM orders GROUP BY st, 2", None),
     "global_agg_empty": ("SELECT COUNT(*) AS n, SUM(o_totalprice) AS s, MIN(o_orderkey) AS m, AVG(o_totalprice) AS a FROM orders WHERE o_orderkey < 0", None),
@@ -60,10 +64,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "union_set": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
-    "order_nulls_default": ("SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC, p_partkey LIMIT 100", "SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC NULLS FIRST, p_partkey LIMIT 100"),
     "order_nulls_all_rows": ("SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC, p_partkey", "SELECT p_partkey, NULLIF(p_size, 7) AS s FROM part ORDER BY s DESC NULLS FIRST, p_partkey"),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
-    "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20", None),
     "order_hidden_column_all_rows": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey", None),
     "inner_join": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 0", None),
     "left_join_nulls": ("SELECT c.c_custkey, COUNT(o.o_orderkey) AS n, MAX(o.o_totalprice) AS top FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 GROUP BY c.c_custkey", None),
@@ -71,11 +73,11 @@ SQL: dict[str, tuple[str, str | None]] = {
     "theta_join": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey", None),
     "three_way_join": ("SELECT r.r_name, n.n_name, COUNT(*) AS n FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2", None),
     "exists_semi": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", None),
-    "not_exists_anti": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
+    "not_exists_anti": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", None),
     "in_subquery": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", None),
     "not_in_null": ("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region)", None),
     "not_in_empty": ("SELECT n_nationkey, NULLIF(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 100) AS t FROM nation", None),
-    "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 2 FROM orders)", None),
+    "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 1.5 FROM orders)", None),
     "correlated_scalar": ("SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c", None),
     "two_level_correlation": ("SELECT r_name FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000))", None),
     "values_alias": ("SELECT v.a + 1 AS b, v.t FROM (VALUES (1, 'x'), (2, NULL)) AS v(a, t)", None),
@@ -91,11 +93,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "bounded_paths_bag": ("WITH RECURSIVE w(a, b, d) AS (SELECT n_nationkey, n_regionkey, 1 FROM nation UNION ALL SELECT w.a, n.n_regionkey, w.d + 1 FROM w JOIN nation n ON n.n_nationkey = w.b WHERE w.d < 4) SELECT a, b, d FROM w", None),
     "shortest_hops": ("WITH RECURSIVE h(k, d) AS (SELECT 24, 0 UNION SELECT n.n_regionkey, h.d + 1 FROM h JOIN nation n ON n.n_nationkey = h.k WHERE h.d < 6) SELECT k, MIN(d) AS hops FROM h GROUP BY k",
                       "WITH RECURSIVE h(k, d) AS (SELECT 24, 0 UNION SELECT n.n_regionkey, h.d + 1 FROM h JOIN nation n ON n.n_nationkey = h.k WHERE h.d < 6) SELECT CAST(k AS BIGINT) AS k, CAST(MIN(d) AS BIGINT) AS hops FROM h GROUP BY k"),
-    "chunks_documents": ("SELECT d.doc_id, c.ordinal, LENGTH(c.text) AS n, c.tokens FROM documents d CROSS JOIN LATERAL chunks(d.text, 500, 50) c WHERE STRPOS(d.text, CHR(10)) = 0",
-                         "WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE strpos(text, chr(10)) = 0 AND length(text) > 0), "
-                         "s AS (SELECT doc_id, n, unnest(generate_series(0, CASE WHEN n <= 500 THEN 0 ELSE CAST(ceil((n - 500) / 450.0) AS BIGINT) END)) AS ordinal FROM d) "
-                         "SELECT doc_id, ordinal, least(500, n - ordinal * 450) AS n, CAST(ceil(least(500, n - ordinal * 450) / 4.0) AS BIGINT) AS tokens FROM s"),
-    "chunks_all_documents": ("SELECT d.doc_id, c.ordinal, LENGTH(c.text) AS n, c.tokens FROM documents d CROSS JOIN LATERAL chunks(d.text, 500, 50) c",
+    "chunks_documents": ("SELECT d.doc_id, c.ordinal, LENGTH(c.text) AS n, c.tokens FROM documents d CROSS JOIN LATERAL chunks(d.text, 500, 50) c",
                              "WITH RECURSIVE w AS (SELECT doc_id, CAST(0 AS BIGINT) AS ordinal, text AS rest, CASE WHEN length(text) > 500 AND strpos(substr(text, 401, 100), chr(10)) > 0 THEN 500 - length(string_split(substr(text, 401, 100), chr(10))[-1]) ELSE least(500, length(text)) END AS n FROM documents WHERE length(text) > 0 "
                              "UNION ALL SELECT doc_id, ordinal + 1, r, CASE WHEN length(r) > 500 AND strpos(substr(r, 401, 100), chr(10)) > 0 THEN 500 - length(string_split(substr(r, 401, 100), chr(10))[-1]) ELSE least(500, length(r)) END FROM (SELECT doc_id, ordinal, substr(rest, n - 49) AS r FROM w WHERE n < length(rest)) AS t) "
                              "SELECT doc_id, ordinal, n, CAST(ceil(n / 4.0) AS BIGINT) AS tokens FROM w"),
@@ -128,7 +126,7 @@ def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 RULES = {
     "relevant": lambda a: "a" in a["name"].lower(),
-    "matches": lambda a: a["x"][:1].lower() == a["y"][:1].lower(),
+    "matches": lambda a: (int(a["x"].rpartition("_")[2]) + len(a["y"])) % 7 == 0,
     "size_of": lambda a: len(a["name"]),
     "ratio": lambda a: len(a["name"]) / 4,
     "shout": lambda a: a["name"].upper(),
@@ -137,7 +135,7 @@ RULES = {
 }
 FUNCTIONS = """
 CREATE FUNCTION relevant(name TEXT) RETURNS BOOLEAN AS PROMPT 'Does {name} hold an a?';
-CREATE FUNCTION matches(x TEXT, y TEXT) RETURNS BOOLEAN AS PROMPT 'Do {x} and {y} begin alike?';
+CREATE FUNCTION matches(x TEXT, y TEXT) RETURNS BOOLEAN AS PROMPT 'Does {x} belong with {y}?';
 CREATE FUNCTION size_of(name TEXT) RETURNS BIGINT AS PROMPT 'Length of {name}?';
 CREATE FUNCTION ratio(name TEXT) RETURNS DOUBLE AS PROMPT 'A quarter of the length of {name}?';
 CREATE FUNCTION shout(name TEXT) RETURNS TEXT AS PROMPT 'Capitals of {name}?';
@@ -147,18 +145,17 @@ CREATE FUNCTION doubled(n BIGINT) RETURNS BIGINT AS SQL (n * 2);
 """
 CALLS: dict[str, tuple[str, str]] = {
     "prompt_filter": ("SELECT p_partkey FROM part WHERE p_size > 20 AND relevant(p_name)", "SELECT p_partkey FROM part WHERE p_size > 20 AND lower(p_name) LIKE '%a%'"),
-    "prompt_project_typed": ("SELECT n_name, relevant(n_name) AS b, size_of(n_name) AS i, ratio(n_name) AS d, shout(n_name) AS t FROM nation", "SELECT n_name, lower(n_name) LIKE '%a%' AS b, length(n_name) AS i, length(n_name) / 4.0::DOUBLE AS d, upper(n_name) AS t FROM nation"),
-    "call_in_join": ("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey AND matches(n.n_name, r.r_name)", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey AND lower(left(n.n_name, 1)) = lower(left(r.r_name, 1))"),
-    "call_in_left_join": ("SELECT n.n_name, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND matches(n.n_name, r.r_name)", "SELECT n.n_name, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND lower(left(n.n_name, 1)) = lower(left(r.r_name, 1))"),
+    "prompt_project_typed": ("SELECT p_partkey, relevant(p_name) AS b, size_of(p_name) AS i, ratio(p_name) AS d, shout(p_name) AS t FROM part", "SELECT p_partkey, lower(p_name) LIKE '%a%' AS b, length(p_name) AS i, length(p_name) / 4.0::DOUBLE AS d, upper(p_name) AS t FROM part"),
+    "call_in_join": ("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey AND matches(n.n_name, r.r_name)", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey AND (CAST(split_part(n.n_name, '_', 2) AS BIGINT) + length(r.r_name)) % 7 = 0"),
+    "call_in_left_join": ("SELECT n.n_name, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND matches(n.n_name, r.r_name)", "SELECT n.n_name, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND (CAST(split_part(n.n_name, '_', 2) AS BIGINT) + length(r.r_name)) % 7 = 0"),
     "call_in_group_key": ("SELECT size_of(n_name) AS k, COUNT(*) AS n FROM nation GROUP BY size_of(n_name)", "SELECT length(n_name) AS k, COUNT(*) AS n FROM nation GROUP BY 1"),
-    "cascade_filter": ("SELECT n_name FROM nation WHERE long_name(n_name)", "SELECT n_name FROM nation WHERE length(n_name) >= 12 OR (length(n_name) >= 8 AND length(n_name) >= 10)"),
-    "semi_join_refute": ("SELECT n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE matches(n.n_name, r.r_name))", "SELECT n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE lower(left(n.n_name, 1)) = lower(left(r.r_name, 1)))"),
-    "call_or_pure": ("SELECT n_name FROM nation WHERE n_regionkey = 1 OR relevant(n_name)", "SELECT n_name FROM nation WHERE n_regionkey = 1 OR lower(n_name) LIKE '%a%'"),
+    "cascade_filter": ("SELECT p_partkey, p_name FROM part WHERE long_name(p_name)", "SELECT p_partkey, p_name FROM part WHERE length(p_name) >= 12 OR (length(p_name) >= 8 AND length(p_name) >= 10)"),
+    "semi_join_refute": ("SELECT n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE matches(n.n_name, r.r_name))", "SELECT n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE (CAST(split_part(n.n_name, '_', 2) AS BIGINT) + length(r.r_name)) % 7 = 0)"),
+    "call_or_pure": ("SELECT p_partkey FROM part WHERE p_size = 1 OR relevant(p_name)", "SELECT p_partkey FROM part WHERE p_size = 1 OR lower(p_name) LIKE '%a%'"),
     "call_in_case": ("SELECT n_name, CASE WHEN n_regionkey < 2 THEN shout(n_name) ELSE 'no' END AS c FROM nation", "SELECT n_name, CASE WHEN n_regionkey < 2 THEN upper(n_name) ELSE 'no' END AS c FROM nation"),
-    "call_in_order": ("SELECT n_name FROM nation ORDER BY size_of(n_name) DESC, n_name LIMIT 7", "SELECT n_name FROM nation ORDER BY length(n_name) DESC, n_name LIMIT 7"),
     "call_in_order_all_rows": ("SELECT n_name FROM nation ORDER BY size_of(n_name) DESC, n_name", "SELECT n_name FROM nation ORDER BY length(n_name) DESC, n_name"),
     "join_order_calls": ("SELECT r.r_name, n.n_name, s.s_suppkey FROM region r, nation n, supplier s WHERE relevant(r.r_name) AND matches(n.n_name, r.r_name) AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey",
-                         "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r, nation n, supplier s WHERE lower(r.r_name) LIKE '%a%' AND lower(left(n.n_name, 1)) = lower(left(r.r_name, 1)) AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey"),
+                         "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r, nation n, supplier s WHERE lower(r.r_name) LIKE '%a%' AND (CAST(split_part(n.n_name, '_', 2) AS BIGINT) + length(r.r_name)) % 7 = 0 AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey"),
     "sql_function": ("SELECT n_nationkey, doubled(n_nationkey) AS d FROM nation", "SELECT n_nationkey, n_nationkey * 2 AS d FROM nation"),
 }
 
@@ -213,8 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Columns that DuckDB types as INTEGER and the dialect, which has one integer type, as BIGINT.
 _BIGINT = {
     "trim_whitespace": "n_nationkey", "left_right_negative": "n_nationkey", "null_functions": "a", "greatest_least": "g l", "round_floor_ceil": "i", "string_agg_ordered": "n_regionkey",
-    "union_set": "k", "union_all": "k", "order_nulls_default": "s", "not_in_null": "n_nationkey", "not_in_empty": "n_nationkey", "values_alias": "b", "generate_series_lateral": "n_nationkey",
-    "select_star_alias": "r_regionkey", "closure_set": "a b", "bounded_paths_bag": "a b d", "sql_function": "n_nationkey d",
+    "union_set": "k", "union_all": "k", "order_nulls_all_rows": "s", "not_in_null": "n_nationkey", "not_in_empty": "n_nationkey", "values_alias": "b", "generate_series_lateral": "n_nationkey",
+    "order_of_union": "k", "order_of_values": "k", "select_star_alias": "r_regionkey", "closure_set": "a b", "bounded_paths_bag": "a b d", "sql_function": "n_nationkey d",
 }
 
 
@@ -227,6 +224,9 @@ _ORACLES: dict[str, str] = {
     **{name: other or dialect for name, (dialect, other) in SQL.items()},
     **{name: other for name, (_, other) in CALLS.items()},
     "statements_cycle": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_regionkey = 1 UNION ALL VALUES (100, 'none'), (101, 'none')",
+    "beam_top_k": "WITH b0 AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) AS s, CAST(0 AS BIGINT) AS d FROM nation WHERE n_nationkey < 3), "
+    + ", ".join(f"b{i} AS (SELECT CAST(n_nationkey AS BIGINT) AS k, b.s + n_nationkey AS s, CAST({i} AS BIGINT) AS d FROM b{i - 1} b, nation ORDER BY 2 DESC, 1 DESC LIMIT 3)" for i in (1, 2, 3))
+    + " SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3",
     "max_rounds_cap": "SELECT unnest(generate_series(1, 6)) AS n",
     "memo_second_run": "SELECT 'relevant' AS function, false AS memo, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) AS n FROM nation UNION ALL SELECT 'relevant', true, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) FROM nation",
 }
@@ -283,6 +283,17 @@ def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.ratings(_evals(spark, sf_dir).withColumnRenamed("run", "solver"))
 
 
+def _html_oracle() -> str:
+    """The steps of html_text as nested replacements; the given pages hold named entities only."""
+    x = "html"
+    for pattern, to in ((r"(?s)<!--.*?(-->|\z)", ""), (r"(?is)<script\b[^>]*>.*?(</script\s*>|\z)", "\n"), (r"(?is)<style\b[^>]*>.*?(</style\s*>|\z)", "\n"),
+                        (rf"(?is)</?({'|'.join(text.BLOCKS)})\b[^>]*>", "\n"), (r"(?s)<[^>]*>", " ")):
+        x = f"regexp_replace({x}, '{pattern}', {'chr(10)' if to == chr(10) else repr(to)}, 'g')"
+    for name, to in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{to}')"
+    return f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), lambda r: r <> ''), chr(10)) AS text FROM pages"
+
+
 _ATTEMPTS = ("(SELECT o_orderstatus AS run, 'orders' AS pack, o_orderpriority AS mode, o_orderkey AS seq, o_totalprice > 150000 AS solved, o_orderkey % 9 AS calls, "
              "o_orderkey % 1000 AS tokens, CAST(o_custkey % 13 AS DOUBLE) AS dollars FROM orders)")
 _TEXT = (lines_documents, grep_documents, paragraphs_conversations, bm25_documents, html_text_pages, eval_report, learning_curve, pareto, elo_ratings)
@@ -296,6 +307,9 @@ ORACLES |= {
     f"d AS (SELECT doc_id, len(w) AS n, {', '.join(f'''len(list_filter(w, lambda x: x = '{t}')) AS t{i}''' for i, t in enumerate(_TERMS))} FROM w), "
     f"s AS (SELECT count(*) AS c, avg(n) AS m, {', '.join(f'count(*) FILTER (t{i} > 0) AS f{i}' for i in range(3))} FROM d) "
     f"SELECT doc_id, round(x, 3) AS score FROM (SELECT doc_id, {' + '.join(f'ln((c - f{i} + 0.5) / (f{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / m))' for i in range(3))} AS x FROM d, s WHERE t0 + t1 + t2 > 0) ORDER BY x DESC, doc_id LIMIT 20",
+    "paragraphs_conversations": "SELECT conv_id, turn, i - 1 AS ordinal, p[i] AS paragraph FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, "
+    "list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM conversations))",
+    "html_text_pages": _html_oracle(),
     "eval_report": f"SELECT pack, mode, count(*) AS tasks, CAST(sum(solved::INT) AS BIGINT) AS solved, round(avg(solved::INT), 6) AS accuracy, round(avg(calls), 6) AS calls_per_task, round(avg(tokens), 6) AS tokens_per_task, round(avg(dollars), 6) AS dollars_per_task FROM {_ATTEMPTS} GROUP BY 1, 2",
     "learning_curve": f"SELECT run, seq, round(avg(solved::INT) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM {_ATTEMPTS}",
     "pareto": f"WITH r AS (SELECT mode, CAST(sum(solved::INT) AS BIGINT) AS solved, avg(solved::INT) AS a, avg(dollars) AS c FROM {_ATTEMPTS} GROUP BY 1) SELECT mode, solved FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.c <= r.c AND o.a >= r.a AND (o.c < r.c OR o.a > r.a))",
@@ -321,17 +335,12 @@ def expand_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 def builtin_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     def reply(prompt: str) -> str:
         name = prompt.split("\n")[0]
-        return json.dumps({"n": len(name)}) if "schema" in prompt else json.dumps({"answer": "a" in name.lower()}) if "true" in prompt else name.upper()
+        return json.dumps({"n": len(name)}) if "schema" in prompt else json.dumps({"answer": name[-1] in "02468"}) if "true" in prompt else name.upper()
 
     return _nations(spark, sf_dir, provider=Scripted(default=reply)).sql(
         "SELECT n_name, llm(n_name) AS t, llm_bool(n_name) AS b, CAST(json_extract_string(llm_json(n_name, '{\"n\": \"number\"}'), '$.n') AS BIGINT) AS n FROM nation")
 
 
-def delegation_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _nations(spark, sf_dir, runner=lambda child, role, task: (f"{child.depth} {task}", {"turns": 1}))
-    return s.sql("SELECT n.n_name, r.answer FROM nation n CROSS JOIN LATERAL rlm(n.n_name) r WHERE n.n_regionkey = 2")
-
-
 def delegation_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _nations(spark, sf_dir, runner=lambda child, role, task: (f"{child.depth} {task}", {"turns": 1}))
     return s.sql("SELECT n.n_name, r.answer FROM nation n CROSS JOIN LATERAL rlm(n.n_name) r")
@@ -355,11 +364,10 @@ def exact_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(evals.exact(bag, same), evals.exact(bag, same.limit(4)))], "equal boolean, shorter boolean")
 
 
-QUERIES |= {f.__name__: f for f in (expand_lateral, builtin_calls, delegation_lateral, delegation_all_nations, csv_json_records, exact_oracle)}
+QUERIES |= {f.__name__: f for f in (expand_lateral, builtin_calls, delegation_all_nations, csv_json_records, exact_oracle)}
 ORACLES |= {
     "expand_lateral": "SELECT n_name, unnest([lower(n_name), upper(n_name)]) AS item FROM nation",
-    "builtin_calls": "SELECT n_name, upper(n_name) AS t, lower(n_name) LIKE '%a%' AS b, length(n_name) AS n FROM nation",
-    "delegation_lateral": "SELECT n_name, '1 ' || n_name AS answer FROM nation WHERE n_regionkey = 2",
+    "builtin_calls": "SELECT n_name, upper(n_name) AS t, CAST(right(n_name, 1) AS INTEGER) % 2 = 0 AS b, length(n_name) AS n FROM nation",
     "delegation_all_nations": "SELECT n_name, '1 ' || n_name AS answer FROM nation",
     "csv_json_records": "SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n_nationkey) AS line, CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation, (VALUES ('csv'), ('json')) AS t(kind)",
     "exact_oracle": "SELECT true AS equal, false AS shorter",

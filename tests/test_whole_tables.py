@@ -28,7 +28,7 @@ def test_chunks_of_documents_with_newlines(spark, tmp_path):
     texts = ["".join(rnd.choices("aßあ \r\n", (40, 5, 5, 10, 1, k), k=n)) for k in (0, 0.1, 1, 9) for n in (1, 499, 500, 501, 950, 4000)]
     texts += [None, "", "\n", "x" * 400 + "\n" + "y" * 700, "x" * 399 + "\n" + "y" * 700, "x" * 499 + "\n" + "y" * 700, "x" * 500 + "\n" + "y" * 700]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in queries.QUERIES["chunks_all_documents"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["chunks_documents"](spark, str(tmp_path)).collect())
     want = [(i, k, len(c), -(-len(c) // 4)) for i, t in enumerate(texts) for k, c in enumerate(brute_chunks(t, 500, 50))]
     assert got == want and {i for i, *_ in got} == {i for i, t in enumerate(texts) if t}
 
