@@ -6,7 +6,7 @@ import hashlib
 import json
 import threading
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 
@@ -97,10 +97,13 @@ class Replay:
 
 
 class Router:
-    """Aliases to candidate providers: the next one answers when one fails; one that fails often rests for a while."""
+    """Aliases to candidate providers: the next one answers when one fails; one that fails often rests for a while.
 
-    def __init__(self, routes: dict[str, list[Provider]], trips: int = 3, rest: int = 10) -> None:
-        self.routes, self.trips, self.rest = routes, trips, rest
+    prices: dollars for a million input and output tokens, by alias; a reply that names no price gets its alias'.
+    """
+
+    def __init__(self, routes: dict[str, list[Provider]], trips: int = 3, rest: int = 10, prices: dict[str, tuple[float, float]] | None = None) -> None:
+        self.routes, self.trips, self.rest, self.prices = routes, trips, rest, prices or {}
         self.failed: dict[int, int] = {}
         self.resting: dict[int, int] = {}
 
@@ -121,5 +124,8 @@ class Router:
                     self.resting[k], self.failed[k] = self.rest, 0
             else:
                 self.failed[k] = 0
+                if not reply.dollars and alias in self.prices:
+                    a, b = self.prices[alias]
+                    reply = replace(reply, dollars=(reply.input_tokens * a + reply.output_tokens * b) / 1e6)
                 return reply
         raise LookupError(f"no provider for {alias} answered") from last

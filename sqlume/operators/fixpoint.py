@@ -7,6 +7,7 @@ semantics compare whole rows, nulls being equal.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ LOCAL_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where it is unset one of our own, in local mode only."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sqlume-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

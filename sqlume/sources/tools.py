@@ -6,8 +6,12 @@ import difflib
 import re
 import subprocess
 import time
+from typing import Protocol
+from urllib.parse import urlsplit
 
 from sqlume.errors import SqlError
+from sqlume.operators.text import BLOCKS
+from sqlume.sources import convert
 from sqlume.sources.files import Workspace
 
 #: name -> (argument types, least arguments, result columns)
@@ -19,13 +23,75 @@ TOOLS: dict[str, tuple[tuple[str, ...], int, tuple]] = {
     "remove": (("TEXT",), 1, (("path", "TEXT"),)),
     "shell": (("TEXT", "TEXT", "BIGINT"), 1, (("stdout", "TEXT"), ("stderr", "TEXT"), ("exit_code", "BIGINT"), ("duration_ms", "BIGINT"))),
     "send": (("TEXT", "TEXT"), 2, (("to", "TEXT"), ("delivered", "BOOLEAN"))),
+    "web_fetch": (("TEXT",), 1, (("url", "TEXT"), ("status", "BIGINT"), ("text", "TEXT"), ("tokens", "BIGINT"))),
+    "web_search": (("TEXT", "BIGINT"), 1, (("rank", "BIGINT"), ("title", "TEXT"), ("url", "TEXT"), ("snippet", "TEXT"))),
 }
+MAX_BODY, DEFAULT_HITS, MAX_HITS = 200 << 10, 10, 20
+
+
+class Web(Protocol):
+    """The web as a session sees it: hosts it may read from, pages, and a search service."""
+
+    hosts: tuple[str, ...]
+
+    def fetch(self, url: str) -> tuple[int, str, bytes]:
+        """Status, content type and body."""
+
+    def search(self, query: str, n: int) -> list[tuple[str, str, str]]:
+        """Title, URL and summary of the n best hits."""
+
+
+class Server(Protocol):
+    """A server of tools. tools() lists dicts of name, args, required and read_only; call() returns texts."""
+
+    def tools(self) -> list[dict]: ...
+
+    def call(self, name: str, args: dict) -> list[str]: ...
+
+
+def web(own: Web | None, name: str, args: list) -> list[tuple]:
+    """Rows of web_fetch and web_search."""
+    if own is None:
+        raise SqlError(f"{name}: the session has no web access; give it one")
+    if name == "web_search":
+        n = DEFAULT_HITS if len(args) < 2 or args[1] is None else int(args[1])
+        if n < 1:
+            raise SqlError(f"web_search: n must be positive, got {n}")
+        return [(i, *hit) for i, hit in enumerate(own.search(args[0], min(n, MAX_HITS))[: min(n, MAX_HITS)], 1)]
+    parts = urlsplit(args[0])
+    host = (parts.hostname or "").lower()
+    if parts.scheme not in ("http", "https") or not any(host == h or host.endswith(f".{h}") for h in own.hosts):
+        raise SqlError(f"web_fetch: {host or args[0]} is not on the list of hosts")
+    status, kind, body = own.fetch(args[0])
+    text = body[:MAX_BODY].decode("utf-8", "replace")
+    text = page_text(text) if "html" in kind or text.lstrip()[:1] == "<" else text
+    return [(args[0], status, text, -(-len(text) // 4))]
+
+
+def page_text(html: str) -> str:
+    """The same text as html_text makes of a column, for one page."""
+    x = re.sub(r"(?s)<!--.*?(-->|\Z)", "", html)
+    x = re.sub(r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|\Z)", "\n", x)
+    x = re.sub(rf"(?is)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n", x)
+    x = re.sub(r"(?s)<[^>]*>", " ", x)
+    x = re.sub(r"&(?:#(\d{1,8})|#[xX]([0-9a-fA-F]{1,6})|(lt|gt|quot|apos|nbsp|amp));", _entity, x)
+    return "\n".join(r for line in x.split("\n") if (r := " ".join(line.split())))
+
+
+def _entity(m: re.Match) -> str:
+    if m[3]:
+        return {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}[m[3]]
+    n = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m[0]
 
 
 def run(ws: Workspace, name: str, args: list, allow_shell: bool = False) -> list[tuple]:
     if name == "write_file":
         p = ws.path(args[0])
         p.parent.mkdir(parents=True, exist_ok=True)
+        if convert.kind_of(p) in convert.WRITTEN:  # documents are built from the text
+            (convert.write_docx if convert.kind_of(p) == "docx" else convert.write_xlsx)(p, args[1])
+            return [(args[0], p.stat().st_size)]
         return [(args[0], p.write_bytes(args[1].encode()))]
     if name == "append_file":
         with ws.path(args[0]).open("ab") as f:
