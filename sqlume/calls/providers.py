@@ -19,6 +19,8 @@ class Reply:
 
 
 class Provider(Protocol):
+    """Answers prompts. One with a true attribute ``portable`` can be sent to the executors and asked there."""
+
     def complete(self, alias: str, prompt: str) -> Reply: ...
 
 

@@ -3,6 +3,10 @@
 Calls are made on the driver over an iterator of the distinct argument rows, at most ``concurrency`` at a time, and
 each answer is made once: answers become a relation (in the shared folder beyond a bound) before anything reads them,
 so no re-run of a Spark task repeats a call.
+
+Where the provider says that it is ``portable``, the executors make the calls instead, each for a range of the
+argument rows, so that nothing passes through the driver. Their number is known and reserved before any is made; answers, and the memo
+of answers by function and arguments, are tables in the shared folder. A task that is lost is asked again.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sqlume.calls.budget import Budget
 from sqlume.calls.providers import Reply, fingerprint
 from sqlume.catalog import FunctionDef
 from sqlume.errors import SqlError
@@ -106,6 +113,7 @@ class Caller:
     def __init__(self, provider, budget, memo: dict[str, str], trace: list[dict], concurrency: int = 8) -> None:
         self.provider, self.budget, self.memo, self.trace, self.concurrency = provider, budget, memo, trace, concurrency
         self.use_memo = True
+        self.answers = AnswerMemo()
 
     def ask(self, alias: str, prompt: str, name: str = "llm", valid=None) -> str:
         """One reply, from the memo where it has one. Replies that do not parse are not remembered."""
@@ -198,8 +206,65 @@ def _ok(parse, text: str) -> bool:
     return True
 
 
+class AnswerMemo:
+    """Answers of portable calls by function and arguments, as Parquet folders; one for each statement that made some."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[DataFrame]] = {}
+
+    def known(self, key: str) -> DataFrame | None:
+        out = None
+        for p in self.parts.get(key, []):
+            out = p if out is None else out.unionByName(p)
+        return out
+
+
+def _portable_answers(spark, need: DataFrame, f: FunctionDef, caller: Caller) -> DataFrame:
+    """The answers made by executors: known ones joined, the rest asked in ranges of arguments, all of them kept."""
+    args = need.columns
+    key = fingerprint(f.alias, json.dumps([f.name, f.body, f.returns, [n for n, _ in f.args]]))
+    known = caller.answers.known(key) if caller.use_memo else None
+    need = keep(need, "need")
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in args]
+    rest = need if known is None else keep(need.alias("n").join(known.alias("k"), same, "left_anti"), "rest")
+    left = rest.count()
+    done = need.limit(0).withColumn("r", F.lit(None).cast(spark_type(f.returns)))
+    if left:
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-left // (4 * f.batch))))
+        most = -(-left // f.batch) + parts  # each range may end in a batch that isn't full
+        caller.budget.reserve(most)
+        schema = ", ".join([*(f"{c} {t}" for c, t in rest.dtypes), f"r {spark_type(f.returns)}", "trace string"])
+        provider, concurrency, step = caller.provider, caller.concurrency, f.batch * caller.concurrency
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                rows = [tuple(None if v is pd.NA else v.item() if hasattr(v, "item") else v for v in t) for t in frame.itertuples(index=False)]
+                for i in range(0, len(rows), step):
+                    own = Caller(provider, Budget(), {}, [], concurrency)
+                    got = own.scalar(f, rows[i : i + step])
+                    out = pd.DataFrame([(*t, a) for t, a in zip(rows[i : i + step], got)], columns=[*args, "r"], dtype=object)
+                    out["trace"] = [json.dumps(own.trace), *[None] * (len(got) - 1)]
+                    yield out
+
+        asked = keep(rest.repartitionByRange(parts, *args).sortWithinPartitions(*args).mapInPandas(run, schema), "answers")
+        element = "array<struct<function:string,alias:string,fingerprint:string,memo:boolean,ok:boolean,input_tokens:bigint,output_tokens:bigint,dollars:double,ms:bigint>>"
+        made = asked.where("trace is not null").select(F.explode(F.from_json("trace", element)).alias("t")).select("t.*")
+        calls, tokens, dollars = made.agg(F.count("*"), F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)), F.coalesce(F.sum("dollars"), F.lit(0.0))).first()
+        caller.budget.settle(most - calls, tokens, dollars)
+        if hasattr(caller.trace, "frames"):
+            caller.trace.frames.append(made)
+        done = asked.drop("trace")
+        caller.answers.parts.setdefault(key, []).append(done)
+    if known is not None:
+        old = need.alias("n").join(known.alias("k"), same).select(*[F.col(f"n.{c}") for c in args], F.col("k.r"))
+        done = done.unionByName(old)
+    return done
+
+
 def answers(spark, need: DataFrame, f: FunctionDef, caller: Caller) -> DataFrame:
     """need's distinct argument rows (a0, a1, ...) with their answer (r)."""
+    if getattr(caller.provider, "portable", False) and need.columns and f.args:
+        return _portable_answers(spark, need, f, caller)
     size = max(1, f.batch) * max(1, caller.concurrency) * 4
     schema = ", ".join([*(f"a{i} {spark_type(t)}" for i, (_, t) in enumerate(f.args[: len(need.columns)])), f"r {spark_type(f.returns)}"])
     done: list[tuple] = []

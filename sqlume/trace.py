@@ -33,6 +33,7 @@ class Log(list):
         self.name, self.schema = name, SCHEMAS[name]
         self.columns = [c.split()[0] for c in self.schema.split(", ")]
         self.path: str | None = None
+        self.frames: list[DataFrame] = []  # rows that executors made
         self.lock = threading.Lock()
 
     def _rows(self) -> list[tuple]:
@@ -48,7 +49,10 @@ class Log(list):
 
     def frame(self, spark: SparkSession) -> DataFrame:
         here = spark.createDataFrame(self._rows(), self.schema)
-        return here if self.path is None else spark.read.schema(self.schema).parquet(self.path).unionByName(here)
+        out = here if self.path is None else spark.read.schema(self.schema).parquet(self.path).unionByName(here)
+        for made in self.frames:
+            out = out.unionByName(made)
+        return out
 
 
 class Trace:
