@@ -178,12 +178,11 @@ def _page(rnd: random.Random) -> str:
     """A page whose article blocks, and what leads to them, are marked."""
     parts = "the an re tion on er st ou le ent qu ci ar se von zu ein sch ich ver de la los ción et oi eau é un a in".split()
 
+    pool = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(200)]
+    pool += [w + rnd.choice(["", "", "", "", ".", ",", "&amp;", "***"]) for w in pool[:60]]
+
     def words(lo: int, hi: int) -> str:
-        out = []
-        for _ in range(rnd.randint(lo, hi)):
-            w = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4)))
-            out.append(w + rnd.choice(["", "", "", "", ".", ",", "&amp;", "***"]) if rnd.random() < 0.3 else w)
-        return " ".join(out)
+        return " ".join(rnd.choices(pool, k=rnd.randint(lo, hi)))
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{rnd.randint(1, 999)}">{words(1, 3)}</a></li>' for _ in range(n))

@@ -239,23 +239,20 @@ class Field:
 def _likelihood(em: np.ndarray, trans: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the log-likelihood of padded sequences by emission and transition scores."""
     n, t, _ = em.shape
-    alpha, beta = np.zeros_like(em), np.zeros_like(em)
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        m = x.max(axis, keepdims=True)
-        return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
-
-    alpha[:, 0] = em[:, 0]
+    e, go = np.exp(em - em.max(2, keepdims=True)), np.exp(trans)
+    alpha, beta = np.ones_like(em), np.ones_like(em)  # each step's values up to a factor, which the shares below don't need
+    alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
     for k in range(1, t):
-        a = lse(alpha[:, k - 1, :, None] + trans[None], 1) + em[:, k]
-        alpha[:, k] = np.where(mask[:, k, None], a, alpha[:, k - 1])
+        a = (alpha[:, k - 1] @ go) * e[:, k]
+        alpha[:, k] = np.where(mask[:, k, None], a / a.sum(1, keepdims=True), alpha[:, k - 1])
     for k in range(t - 2, -1, -1):
-        b = lse(trans[None] + (em[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-        beta[:, k] = np.where(mask[:, k + 1, None], b, 0)
-    z = lse(alpha[:, -1], 1)
-    p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
+        b = (e[:, k + 1] * beta[:, k + 1]) @ go.T
+        beta[:, k] = np.where(mask[:, k + 1, None], b / b.sum(1, keepdims=True), 1)
+    p = alpha * beta
+    p *= mask[..., None] / p.sum(2, keepdims=True)
     seen = np.eye(3)[y] * mask[..., None]
-    pair = np.exp(alpha[:, :-1, :, None] + trans[None, None] + (em[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
+    pair = alpha[:, :-1, :, None] * go * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
+    pair *= (mask[:, 1:] / pair.sum((2, 3)))[:, :, None, None]
     seen_pair = np.zeros((3, 3))
     np.add.at(seen_pair, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), 1)
     return seen - p, seen_pair - pair.sum((0, 1))
