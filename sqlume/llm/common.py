@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a file whose places are kept together.
 CHUNK_ROWS = 1 << 20
+#: Star edges of a graph that one task finishes.
+PART_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,10 +81,11 @@ def _partition_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """Components of an undirected graph given as (a long, b long): one row (v, root) per vertex that has an edge; and the path behind it.
 
-    root is the smallest vertex of the component. Alternates large-star and small-star steps: in each, every
-    vertex points its larger (or all) neighbours at its smallest neighbour. Minimums are combined map-side, each
-    partition turns its own edges into stars, and each round is cut in shared storage. A graph that fits in one
-    partition is done in the first round, the second finds nothing to change. Loops, repeated and null edges are ignored.
+    root is the smallest vertex of the component. Every partition turns its own edges into stars first. A graph of up to
+    ``PART_EDGES`` star edges, the most that any task takes of one, then fits in one partition and is done there.
+    Larger ones alternate large-star and small-star steps, in which every vertex points its larger (or all) neighbours
+    at its smallest neighbour, until they fit or don't change. Minimums are combined map-side, and each round is cut in shared
+    storage. Loops, repeated and null edges are ignored.
 
     The minimums are grouped by (u, a function of u), which makes the same groups, but an exchange that the join by u
     can't use: so both of its sides come straight from exchanges, the shape in which the adaptive skew join splits a
@@ -93,25 +96,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
     def cut(df: DataFrame) -> tuple[DataFrame, str, dict]:
         seen = Observation()
         marks = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-        df, path = materialize(df.distinct().mapInArrow(_partition_stars, "u long, v long").observe(seen, *marks), "cc")
+        df, path = materialize(df.mapInArrow(_partition_stars, "u long, v long").observe(seen, *marks), "cc")
         return df, path, seen.get
 
-    cur, path, before = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    side = F.pmod(F.hash("u"), F.lit(2)).alias("side")
+    cur, path, now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    side, before = F.pmod(F.hash("u"), F.lit(2)).alias("side"), None
     for _ in range(max_rounds):
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u", side).agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        # small-star: u > v in every row of `large`
-        low = large.groupBy("u", side).agg(F.min("v").alias("m")).select("u", "m")
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
-        )).alias("e")).select("e.u", "e.v").where("u <> v")
+        last = now["n"] <= PART_EDGES
+        if last:
+            small = cur.coalesce(1)
+        else:
+            both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u", side).agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m")
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            large = large.distinct()
+            # small-star: u > v in every row of `large`
+            low = large.groupBy("u", side).agg(F.min("v").alias("m")).select("u", "m")
+            small = large.join(low, "u").select(F.explode(F.array(
+                F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
+            )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt, npath, now = cut(small)
         remove(spark, path)
         cur, path = nxt, npath
-        if now == before:
+        if last or now == before:
             break
         before = now
     else:

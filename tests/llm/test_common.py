@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sqlume.llm import common
 
@@ -25,7 +26,9 @@ def graph():
     return [(a, b) for a, b in edges if a != b] * 2
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("part_edges", [500_000, 200, 0])
+def test_components_match_brute_force(spark, monkeypatch, part_edges):
+    monkeypatch.setattr(common, "PART_EDGES", part_edges)
     for parts, coalesce in ((1, "true"), (7, "false")):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
         df = spark.createDataFrame([*graph(), (5, 5), (None, 3), (3, None)], "a long, b long").repartition(parts)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,6 +70,13 @@ def test_fast_and_slow_tokenizers_agree(spark):
         assert encode(t).tolist() == ids_of(t)[:-1].tolist()
 
 
+def test_both_libraries_give_the_same_ids_for_every_given_document():
+    encode = packing.encoder()
+    for name in ("sf0.1/documents.parquet", "check_h/documents.parquet"):
+        for t in set(pq.read_table(f"/root/testdata/{name}", columns=["text"]).column(0).to_pylist()[:20_000]):
+            assert np.array_equal(encode(t or ""), ids_of(t or "")[:-1]), t
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     rows = packing.pack(spark.createDataFrame([(None, "a b", "s", 1), (3, "c", "s", 1), (3, "c", "s", 1)], SCHEMA)).collect()
     assert sorted((r.doc_id or -1) for r in rows if r.start == 0) == [-1, 3, 3]
