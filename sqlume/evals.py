@@ -118,6 +118,39 @@ def pareto(evals: DataFrame) -> DataFrame:
     return r.join(better, worse, "left_anti").orderBy("dollars_per_task", "pack", "mode")
 
 
+def bench_runs(evals: DataFrame) -> DataFrame:
+    """A row for each run of a pack in a mode: how many tasks, how many solved, what they cost, first and last."""
+    return evals.groupBy("run", "pack", "mode").agg(
+        F.count("*").alias("tasks"), F.sum(F.col("solved").cast("int")).alias("solved"), F.sum("dollars").alias("dollars"), F.min("recorded_at").alias("started_at"), F.max("recorded_at").alias("finished_at"))
+
+
+def board(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """tasks(id, ...) with status, attempts, last_run and last_detail from attempts(task, run, solved, detail, seq)."""
+    last = attempts.groupBy(F.col("task").alias("id")).agg(F.count("*").alias("attempts"), F.max_by("run", "seq").alias("last_run"), F.max_by("detail", "seq").alias("last_detail"), F.max("solved").alias("any_solved"))
+    status = F.when(F.col("attempts").isNull(), "open").when(F.col("last_detail") == "needs_review", "needs_review").when(F.col("any_solved"), "solved").otherwise("failed")
+    return tasks.join(last, "id", "left").withColumn("status", status).withColumn("attempts", F.coalesce("attempts", F.lit(0))).drop("any_solved")
+
+
+def trace_tasks(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """A row for each attempt with what is known of its task."""
+    t, a = board(tasks, attempts).alias("t"), attempts.alias("a")
+    return a.join(t, F.col("a.task") == F.col("t.id")).select(
+        "a.task", "t.kind", "t.generator", "t.source", "t.dial", "t.difficulty", "t.status", "a.run", "a.solver", F.when(F.col("a.solved"), 1.0).otherwise(0.0).alias("solved"), "a.calls", "a.dollars", "a.depth", "a.recorded_at")
+
+
+def generator_state(attempts: DataFrame, step: float = 0.1, start: float = 0.3, block: int = 10) -> DataFrame:
+    """Each generator's dial after its attempts(generator, seq, solved): up where over 0.7 of a block of attempts are solved, down where under 0.3 are.
+
+    Attempts are numbered within their generator: a generator's attempts are sorted in one task.
+    """
+    tried = attempts.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("generator").orderBy("seq")) - 1) / block))
+    each = tried.groupBy("generator", "block").agg(F.count("*").alias("n"), F.sum(F.col("solved").cast("int")).alias("k"))
+    rate = F.col("k") / F.col("n")
+    move = F.when(F.col("n") < block, 0).when(rate > 0.7, 1).when(rate < 0.3, -1).otherwise(0)
+    out = each.groupBy("generator").agg(F.sum("n").alias("tried"), F.sum("k").alias("solved"), F.sum(move).alias("moves"))
+    return out.select("generator", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.lit(start) + step * F.col("moves"), 6))).alias("dial"), (F.col("solved") / F.col("tried")).alias("solve_rate"), "tried", "solved")
+
+
 def adopt(candidate: list[tuple[bool, float]], baseline: list[tuple[bool, float]]) -> bool:
     """A replay's gate: as many tasks solved, at no more cost."""
     solved = lambda xs: sum(ok for ok, _ in xs)

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlume import evals
@@ -145,15 +145,10 @@ class Learn:
 
     def board(self) -> DataFrame:
         """Tasks with their status, attempts and last attempt."""
-        last = self.table("attempts").groupBy(F.col("task").alias("id")).agg(F.count("*").alias("attempts"), F.max_by("run", "seq").alias("last_run"), F.max_by("detail", "seq").alias("last_detail"), F.max("solved").alias("solved"))
-        status = F.when(F.col("attempts").isNull(), "open").when(F.col("last_detail") == "needs_review", "needs_review").when(F.col("solved"), "solved").otherwise("failed")
-        return self.table("tasks").join(last, "id", "left").withColumn("status", status).withColumn("attempts", F.coalesce("attempts", F.lit(0))).drop("solved")
+        return evals.board(self.table("tasks"), self.table("attempts"))
 
     def trace_tasks(self) -> DataFrame:
-        """A row for each attempt with what is known of its task."""
-        t, a = self.board().alias("t"), self.table("attempts").alias("a")
-        return a.join(t, F.col("a.task") == F.col("t.id")).select(
-            "a.task", "t.kind", "t.generator", "t.source", "t.dial", "t.difficulty", "t.status", "a.run", "a.solver", F.when(F.col("a.solved"), 1.0).otherwise(0.0).alias("solved"), "a.calls", "a.dollars", "a.depth", "a.recorded_at")
+        return evals.trace_tasks(self.table("tasks"), self.table("attempts"))
 
     def ratings(self) -> DataFrame:
         return evals.ratings(self.table("attempts"))
@@ -162,19 +157,12 @@ class Learn:
         own = self.table("attempts").groupBy("solver").agg(F.sum(F.col("solved").cast("int")).alias("solved"), F.sum("dollars").alias("dollars"))
         return self.ratings().where("kind = 'solver'").select(F.col("name").alias("solver"), "rating", F.col("attempts").alias("games")).join(own, "solver")
 
-    def generator_state(self, step: float = 0.1, start: float = 0.3) -> DataFrame:
-        """Each generator's dial after its attempts: up where most are solved, down where few are, as often as ten were tried."""
-        turn = Window.partitionBy("generator").orderBy("seq")
-        tried = self.table("attempts").join(self.table("tasks").select(F.col("id").alias("task"), "generator"), "task").withColumn("block", F.floor((F.row_number().over(turn) - 1) / 10))
-        block = tried.groupBy("generator", "block").agg(F.count("*").alias("n"), F.sum(F.col("solved").cast("int")).alias("k"))
-        move = F.when(F.col("n") < 10, 0).when(F.col("k") / F.col("n") > 0.7, 1).when(F.col("k") / F.col("n") < 0.3, -1).otherwise(0)
-        out = block.groupBy("generator").agg(F.sum("n").alias("tried"), F.sum("k").alias("solved"), F.sum(move).alias("moves"))
-        return out.select("generator", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(start + step * F.col("moves"), 6))).alias("dial"), (F.col("solved") / F.col("tried")).alias("solve_rate"), "tried", "solved")
+    def generator_state(self) -> DataFrame:
+        own = self.table("tasks").select(F.col("id").alias("task"), "generator")
+        return evals.generator_state(self.table("attempts").join(own, "task"))
 
     def bench_runs(self) -> DataFrame:
-        """A row for each run of a pack in a mode."""
-        return self.table("evals").groupBy("run", "pack", "mode").agg(
-            F.count("*").alias("tasks"), F.sum(F.col("solved").cast("int")).alias("solved"), F.sum("dollars").alias("dollars"), F.min("recorded_at").alias("started_at"), F.max("recorded_at").alias("finished_at"))
+        return evals.bench_runs(self.table("evals"))
 
     # the playbook
 

@@ -283,7 +283,7 @@ def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.ratings(_evals(spark, sf_dir).withColumnRenamed("run", "solver"))
 
 
-def _html_oracle() -> str:
+def html_oracle() -> str:
     """The steps of html_text as nested replacements; the given pages hold named entities only."""
     x = "html"
     for pattern, to in ((r"(?s)<!--.*?(-->|\z)", ""), (r"(?is)<script\b[^>]*>.*?(</script\s*>|\z)", "\n"), (r"(?is)<style\b[^>]*>.*?(</style\s*>|\z)", "\n"),
@@ -309,7 +309,7 @@ ORACLES |= {
     f"SELECT doc_id, round(x, 3) AS score FROM (SELECT doc_id, {' + '.join(f'ln((c - f{i} + 0.5) / (f{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / m))' for i in range(3))} AS x FROM d, s WHERE t0 + t1 + t2 > 0) ORDER BY x DESC, doc_id LIMIT 20",
     "paragraphs_conversations": "SELECT conv_id, turn, i - 1 AS ordinal, p[i] AS paragraph FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, "
     "list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM conversations))",
-    "html_text_pages": _html_oracle(),
+    "html_text_pages": html_oracle(),
     "eval_report": f"SELECT pack, mode, count(*) AS tasks, CAST(sum(solved::INT) AS BIGINT) AS solved, round(avg(solved::INT), 6) AS accuracy, round(avg(calls), 6) AS calls_per_task, round(avg(tokens), 6) AS tokens_per_task, round(avg(dollars), 6) AS dollars_per_task FROM {_ATTEMPTS} GROUP BY 1, 2",
     "learning_curve": f"SELECT run, seq, round(avg(solved::INT) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM {_ATTEMPTS}",
     "pareto": f"WITH r AS (SELECT mode, CAST(sum(solved::INT) AS BIGINT) AS solved, avg(solved::INT) AS a, avg(dollars) AS c FROM {_ATTEMPTS} GROUP BY 1) SELECT mode, solved FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.c <= r.c AND o.a >= r.a AND (o.c < r.c OR o.a > r.a))",

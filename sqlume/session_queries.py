@@ -11,10 +11,10 @@ from tempfile import mkdtemp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlume import evals
-from sqlume.calls.providers import Ruled, Scripted
+from sqlume import evals, output
+from sqlume.calls.providers import Reply, Ruled, Scripted
 from sqlume.operators.fixpoint import keep, shared_dir
-from sqlume.queries import call_session, tables
+from sqlume.queries import FUNCTIONS, RULES, call_session, html_oracle, tables
 from sqlume.session import Session
 
 NATION_ROWS = "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey"
@@ -164,12 +164,127 @@ def elo_ratings_by_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(evals.ratings(attempts), "ratings").where("kind = 'solver'").select("name", F.round("rating", 4).alias("rating"), "attempts")
 
 
+class Rules:
+    """Answers like Ruled, and can be sent to the executors."""
+
+    portable = True
+
+    def complete(self, alias: str, prompt: str) -> Reply:
+        return Ruled(RULES).complete(alias, prompt)
+
+
+def calls_by_executors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of a filter made on the executors."""
+    s = tables(Session(spark, Rules()), sf_dir, ["part"])
+    s.sql(FUNCTIONS)
+    return s.sql("SELECT p_partkey FROM part WHERE p_size > 20 AND relevant(p_name)")
+
+
+class Library:
+    """The given pages as the web: a page's number is its URL's last part."""
+
+    hosts = ("pages.example",)
+
+    def __init__(self, pages: dict[str, str]) -> None:
+        self.pages = pages
+
+    def fetch(self, url: str) -> tuple[int, str, bytes]:
+        return 200, "text/html", self.pages[url].encode()
+
+    def search(self, query: str, n: int) -> list[tuple[str, str, str]]:
+        return [(f"{query} {k}", url, "found") for k, url in enumerate(sorted(self.pages)[:n])]
+
+
+def web_fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").toLocalIterator()
+    s = Session(spark, web=Library({f"https://pages.example/{r.page_id}": r.html for r in rows}))
+    s.register("urls", spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("concat('https://pages.example/', page_id) AS url"))
+    return s.sql("CALL web_fetch(url) FROM (SELECT url FROM urls ORDER BY url)")
+
+
+def web_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark, web=Library({f"https://pages.example/{n}": "" for _, n, _ in nations(spark, sf_dir)}))
+    return s.sql("CALL web_search('query', 7)")
+
+
+class Atlas:
+    """A server of tools over the nations."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+
+    def tools(self) -> list[dict]:
+        return [{"name": "in_region", "args": ["region"], "required": ["region"], "read_only": True}, {"name": "rename", "args": ["name", "to"], "required": ["name", "to"]}]
+
+    def call(self, name: str, args: dict) -> list[str]:
+        return [n for _, n, r in self.rows if str(r) == args["region"]] if name == "in_region" else [f"{args['name']} is {args['to']}"]
+
+
+def server_table_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(Session(spark), sf_dir, ["region"])
+    s.connect("atlas", Atlas(nations(spark, sf_dir)))
+    return s.sql("SELECT r.r_name, t.text FROM region r CROSS JOIN LATERAL atlas_in_region(CAST(r.r_regionkey AS TEXT)) t")
+
+
+def server_call_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(Session(spark), sf_dir, ["nation"])
+    s.connect("atlas", Atlas([]))
+    return s.sql("CALL atlas_rename(n_name, 'N' || CAST(n_nationkey AS TEXT)) FROM (SELECT n_name, n_nationkey FROM nation ORDER BY n_nationkey)")
+
+
+def documents_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two kinds written from text and read as text."""
+    s = tables(Session(spark, workspace=str(workspace(spark))), sf_dir, ["nation"])
+    s.sql("CALL write_file(n_name || '.docx', '# ' || n_name || CHR(10) || CHR(10) || 'In **region** ' || CAST(n_regionkey AS TEXT)) FROM (SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey); "
+          "CALL write_file(n_name || '.xlsx', n_name || ',' || CAST(n_regionkey AS TEXT)) FROM (SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey)")
+    return s.sql("SELECT f.path, r.text FROM files('*.*') f CROSS JOIN LATERAL read(f.path) r")
+
+
+def output_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions as CSV, JSON and a table."""
+    s = tables(Session(spark), sf_dir, ["region"])
+    df = s.sql("SELECT r_regionkey AS k, r_name || ', ' || r_name AS n, NULLIF(r_regionkey, 2) AS odd FROM region ORDER BY r_regionkey")
+    return spark.createDataFrame([("csv", output.render_csv(df)), ("json", output.to_json(df)), ("rows", str(len(output.render_table(df, 3).split("\n"))))], "form string, text string")
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers read as tasks and orders as attempts at them."""
+    tasks = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS id", "'k' AS kind", "c_mktsegment AS generator", "'given' AS source", "0.5D AS dial", "1000D AS difficulty")
+    attempts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "CAST(o_custkey AS STRING) AS task", "CAST(o_orderkey AS STRING) AS run", "o_orderstatus AS solver", "o_totalprice > 350000 AS solved", "CASE WHEN o_orderpriority = '1-URGENT' THEN 'needs_review' ELSE 'judged' END AS detail",
+        "o_orderkey % 9 AS calls", "CAST(o_custkey % 13 AS DOUBLE) AS dollars", "1 AS depth", "o_orderkey AS seq", "CAST(o_orderkey AS DOUBLE) AS recorded_at")
+    return tasks, attempts
+
+
+def task_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.board(*_tasks(spark, sf_dir)).select("id", "status", "attempts", "last_run")
+
+
+def tasks_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.trace_tasks(*_tasks(spark, sf_dir)).select("task", "generator", "status", "run", "solver", "solved", "calls")
+
+
+def generator_dials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, attempts = _tasks(spark, sf_dir)
+    return evals.generator_state(attempts.join(tasks.selectExpr("id AS task", "generator"), "task")).select("generator", "dial", F.round("solve_rate", 6).alias("solve_rate"), "tried", "solved")
+
+
+def bench_runs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, attempts = _tasks(spark, sf_dir)
+    return evals.bench_runs(attempts.withColumns({"run": F.col("solver"), "pack": F.lit("orders"), "mode": F.col("detail")}))
+
+
 _FUNCTIONS: tuple[Callable, ...] = (files_of_workspace, lines_of_file, grep_of_files, read_of_each_file, search_of_files, skill_and_env, load_typed, context_paragraphs, call_of_each_row, spawn_each, spawn_async_await,
-                                    inbox_of_children, calls_in_recursion, calibrate_thresholds, explain_analyze, trace_of_sessions, inserts_appended, elo_ratings_by_recursion)
+                                    inbox_of_children, calls_in_recursion, calibrate_thresholds, explain_analyze, trace_of_sessions, inserts_appended, elo_ratings_by_recursion, calls_by_executors,
+                                    web_fetch_pages, web_search_hits, server_table_tool, server_call_tool, documents_read_back, output_forms, task_board, tasks_traced, generator_dials, bench_runs_report)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS}
 _EACH = "'each/' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '.md'"
 _TREE = ("WITH a AS (SELECT n_name AS item FROM nation WHERE n_regionkey = 1), b AS (SELECT item || x AS item FROM a, (VALUES ('a'), ('b')) AS v(x)), c AS (SELECT item || x AS item FROM b, (VALUES ('a'), ('b')) AS v(x)) "
          "SELECT item, CAST(0 AS BIGINT) AS d FROM a UNION ALL SELECT item, CAST(1 AS BIGINT) FROM b UNION ALL SELECT item, CAST(2 AS BIGINT) FROM c")
+_ATTEMPTS = ("(SELECT CAST(o_custkey AS VARCHAR) AS task, CAST(o_orderkey AS VARCHAR) AS run, o_orderstatus AS solver, o_totalprice > 350000 AS solved, CASE WHEN o_orderpriority = '1-URGENT' THEN 'needs_review' ELSE 'judged' END AS detail, "
+             "o_orderkey % 9 AS calls, CAST(o_custkey % 13 AS DOUBLE) AS dollars, o_orderkey AS seq, CAST(o_orderkey AS DOUBLE) AS recorded_at FROM orders)")
+_BOARD = (f"(SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS generator, CASE WHEN n IS NULL THEN 'open' WHEN d = 'needs_review' THEN 'needs_review' WHEN s THEN 'solved' ELSE 'failed' END AS status, coalesce(n, 0) AS attempts, r AS last_run FROM customer "
+          f"LEFT JOIN (SELECT task, count(*) AS n, arg_max(run, seq) AS r, arg_max(detail, seq) AS d, bool_or(solved) AS s FROM {_ATTEMPTS} GROUP BY task) AS a ON a.task = CAST(c_custkey AS VARCHAR))")
 ORACLES: dict[str, str] = {
     "files_of_workspace": f"SELECT {_EACH} AS path, CAST(length(n_name) * (n_nationkey + 1) AS BIGINT) AS size, 'file' AS kind FROM nation",
     "lines_of_file": "SELECT row_number() OVER (ORDER BY n_nationkey) AS lineno, n_name || ' in ' || CAST(n_regionkey AS VARCHAR) AS text FROM nation QUALIFY lineno BETWEEN 3 AND 20",
@@ -191,4 +306,18 @@ ORACLES: dict[str, str] = {
     "SELECT 's' AS name, round(x, 4) AS rating, CAST(25 AS BIGINT) AS attempts FROM r WHERE i = 25",
     "explain_analyze": "SELECT (SELECT count(*) FROM part WHERE p_size > 20 AND lower(p_name) LIKE '%a%') AS n, "
     "(SELECT CAST(ceil(count(DISTINCT p_name) / 20.0) AS BIGINT) FROM part WHERE p_size > 20) AS calls",
+    "calls_by_executors": "SELECT p_partkey FROM part WHERE p_size > 20 AND lower(p_name) LIKE '%a%'",
+    "web_fetch_pages": f"SELECT 'https://pages.example/' || CAST(page_id AS VARCHAR) AS url, CAST(200 AS BIGINT) AS status, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM ({html_oracle()})",
+    "web_search_hits": "SELECT row_number() OVER (ORDER BY n_name) AS rank, 'query ' || CAST(row_number() OVER (ORDER BY n_name) - 1 AS VARCHAR) AS title, 'https://pages.example/' || n_name AS url, 'found' AS snippet FROM nation QUALIFY rank <= 7",
+    "server_table_tool": "SELECT r_name, n_name AS text FROM region JOIN nation ON n_regionkey = r_regionkey",
+    "server_call_tool": "SELECT n_name || ' is N' || CAST(n_nationkey AS VARCHAR) AS text FROM nation",
+    "documents_read_back": "SELECT n_name || '.docx' AS path, n_name || chr(10) || 'In region ' || CAST(n_regionkey AS VARCHAR) || chr(10) AS text FROM nation UNION ALL "
+    "SELECT n_name || '.xlsx', '## Sheet: Sheet1' || chr(10) || n_name || ',' || CAST(n_regionkey AS VARCHAR) || chr(10) || chr(10) FROM nation",
+    "output_forms": "SELECT 'csv' AS form, 'k,n,odd' || chr(13) || chr(10) || string_agg(CAST(r_regionkey AS VARCHAR) || ',\"' || r_name || ', ' || r_name || '\",' || CASE WHEN r_regionkey = 2 THEN '' ELSE CAST(r_regionkey AS VARCHAR) END || chr(13) || chr(10), '' ORDER BY r_regionkey) AS text FROM region "
+    "UNION ALL SELECT 'json', '[' || string_agg('{\"k\": ' || CAST(r_regionkey AS VARCHAR) || ', \"n\": \"' || r_name || ', ' || r_name || '\", \"odd\": ' || CASE WHEN r_regionkey = 2 THEN 'null' ELSE CAST(r_regionkey AS VARCHAR) END || '}', ', ' ORDER BY r_regionkey) || ']' FROM region UNION ALL SELECT 'rows', '6'",
+    "task_board": f"SELECT id, status, attempts, last_run FROM {_BOARD}",
+    "tasks_traced": f"SELECT a.task, b.generator, b.status, a.run, a.solver, CASE WHEN a.solved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS solved, a.calls FROM {_ATTEMPTS} a JOIN {_BOARD} b ON b.id = a.task",
+    "generator_dials": f"SELECT generator, least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(0.3::DOUBLE + 0.1::DOUBLE * sum(CASE WHEN n < 10 THEN 0 WHEN k / n > 0.7 THEN 1 WHEN k / n < 0.3 THEN -1 ELSE 0 END), 6))) AS dial, round(sum(k) / sum(n), 6) AS solve_rate, CAST(sum(n) AS BIGINT) AS tried, CAST(sum(k) AS BIGINT) AS solved "
+    f"FROM (SELECT generator, block, count(*) AS n, sum(solved::INT) AS k FROM (SELECT c_mktsegment AS generator, solved, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY seq) - 1) // 10 AS block FROM {_ATTEMPTS} a JOIN customer ON CAST(c_custkey AS VARCHAR) = a.task) GROUP BY 1, 2) GROUP BY 1",
+    "bench_runs_report": f"SELECT solver AS run, 'orders' AS pack, detail AS mode, count(*) AS tasks, CAST(sum(solved::INT) AS BIGINT) AS solved, sum(dollars) AS dollars, min(recorded_at) AS started_at, max(recorded_at) AS finished_at FROM {_ATTEMPTS} GROUP BY 1, 3",
 }
