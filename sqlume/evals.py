@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlume.operators.ranks import ranked, rolling
+
 
 # oracles
 
@@ -106,8 +108,7 @@ def report(evals: DataFrame) -> DataFrame:
 
 def learning_curve(evals: DataFrame, window: int = 10) -> DataFrame:
     """Rolling solve rate over the last tasks of each run."""
-    w = Window.partitionBy("run").orderBy("seq").rowsBetween(-(window - 1), 0)
-    return evals.select("run", "seq", F.avg(F.col("solved").cast("double")).over(w).alias("rate"))
+    return rolling(evals.select("run", "seq", "solved"), ["run"], ["seq"], window, F.col("solved").cast("double"), "rate").select("run", "seq", "rate")
 
 
 def pareto(evals: DataFrame) -> DataFrame:
@@ -139,11 +140,8 @@ def trace_tasks(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def generator_state(attempts: DataFrame, step: float = 0.1, start: float = 0.3, block: int = 10) -> DataFrame:
-    """Each generator's dial after its attempts(generator, seq, solved): up where over 0.7 of a block of attempts are solved, down where under 0.3 are.
-
-    Attempts are numbered within their generator: a generator's attempts are sorted in one task.
-    """
-    tried = attempts.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("generator").orderBy("seq")) - 1) / block))
+    """Each generator's dial after its attempts(generator, seq, solved): up where over 0.7 of a block of attempts are solved, down where under 0.3 are."""
+    tried = ranked(attempts.select("generator", "seq", "solved"), ["generator"], ["seq"], "at").withColumn("block", F.floor(F.col("at") / block))
     each = tried.groupBy("generator", "block").agg(F.count("*").alias("n"), F.sum(F.col("solved").cast("int")).alias("k"))
     rate = F.col("k") / F.col("n")
     move = F.when(F.col("n") < block, 0).when(rate > 0.7, 1).when(rate < 0.3, -1).otherwise(0)

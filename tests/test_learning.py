@@ -141,3 +141,24 @@ def test_traces_of_sessions_statements_and_tools(spark, tmp_path):
     assert s.system("trace_statements").count() == 6
     s.sql("CREATE TABLE k (a BIGINT, b TEXT)")
     assert {tuple(r) for r in s.system("columns").collect()} == {("k", 0, "a", "BIGINT"), ("k", 1, "b", "TEXT")}
+
+
+def test_ranks_and_rolling_means_of_one_large_group(spark):
+    from pyspark.sql import functions as F
+
+    from sqlume.operators import ranks
+
+    rows = [("a" if i % 10 else None, (i * 7919) % 5000, float(i % 3 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, o long, v double").repartition(6)
+    want, mean = {}, {}
+    for g in ("a", None):
+        own = sorted((o, v) for x, o, v in rows if x == g)
+        for i, (o, _) in enumerate(own):
+            want[g, o] = i
+            part = [v for _, v in own[max(0, i - 9) : i + 1]]
+            mean[g, o] = sum(part) / len(part)
+    assert {(r.g, r.o): r.at for r in ranks.ranked(df, ["g"], ["o"], "at").collect()} == want
+    for block in (200_000, 37, 10):
+        got = {(r.g, r.o): r.m for r in ranks.rolling(df, ["g"], ["o"], 10, F.col("v"), "m", block).collect()}
+        assert got.keys() == mean.keys() and all(abs(got[k] - m) < 1e-9 for k, m in mean.items())
+    assert ranks.ranked(df.limit(0), ["g"], ["o"]).count() == 0
