@@ -28,7 +28,7 @@ from sqlume.llm.simhash import bucket_linker
 SEED = 42
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, BITS = 32, 22
+BANDS, BITS = 48, 22
 #: Bands of texts with fewer distinct words than SHORT: one word changes more of their bits.
 SHORT, SHORT_BANDS = 40, 96
 #: Words of 64 bits that are compared in a bucket, and the most bits that candidates may differ in there.

@@ -78,7 +78,7 @@ def crowd(n=420):
     return list(enumerate(rows, 1))
 
 
-@pytest.mark.parametrize("cluster_rows, bucket_rows", [(512, 8192), (40, 8192), (40, 64), (7, 64)])
+@pytest.mark.parametrize("cluster_rows, bucket_rows", [(512, 8192), (40, 64), (7, 64)])
 def test_blocks_of_large_clusters_and_squares_of_large_buckets_lose_nothing(spark, tmp_path, monkeypatch, cluster_rows, bucket_rows):
     monkeypatch.setattr(nearcopies, "CLUSTER_ROWS", cluster_rows)
     monkeypatch.setattr(nearcopies, "BUCKET_ROWS", bucket_rows)
