@@ -6,8 +6,11 @@ weight and long harmless texts gather none. The model is fitted on at most ``max
 by a hash of their ids) and broadcast; scoring is a map over all documents. Features are counted on the executors: the
 driver gets the candidates' names and the counts of those in each text, never a text.
 
-The ordered grades are read from the labels: 0 is not toxic, 1 is toxic, 2 is toxic and of bad quality. The labels hold no
-other order, so the expected severity tells apart no shades of toxicity beyond what these do.
+The labels only say whether a text is toxic, so the ordered grades are degrees of how much of a text is: 0 is a text
+labelled clean, 2 one labelled toxic, and 1 one labelled toxic among ``DILUTED`` clean ones, whose counts are added to its own. Expected
+severity thus grows with the share of toxic text, not with how bad its words are, of which the labels say nothing. The
+weights and the first threshold are fitted on the labelled texts, the second threshold on all three grades with those
+weights: mixtures in the fit of the weights made it worse at telling toxic texts from clean ones.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MIN_DOCS = 3
 L1 = 0.6
 REJECT_AT = 0.5
 GRADES = 3
+#: Clean texts put beside a toxic one to make a text of grade 1.
+DILUTED = 2
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
 #: Feature whose count is that of all words, so that few hits weigh less in a long text than in a short one.
@@ -96,11 +101,11 @@ class Model:
 def feature_counts(rows: Iterable[tuple[str | None, int]], most: int = 200_000) -> Iterator[dict[str, list[int]]]:
     """In parts: how many of the texts have a feature, and how many of those are toxic."""
     out: dict[str, list[int]] = {}
-    for text, grade in rows:
+    for text, label in rows:
         for f in counts_of(text):
             n = out.setdefault(f, [0, 0])
             n[0] += 1
-            n[1] += grade > 0
+            n[1] += label > 0
         if len(out) >= most:
             yield out
             out = {}
@@ -112,12 +117,12 @@ def gain_of(k, p, n, pos):
     return (p * n - k * pos) * (p * n - k * pos) / (k * pos * (n - k + 1e-9) * (n - pos))
 
 
-def fit(texts: list[str], grades: list[int], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
-    """The ordinal model for texts with grades 0, 1 or 2; equal texts count once, with the highest of their grades."""
+def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
+    """The ordinal model for texts labelled 0 or 1; equal texts count once, as toxic if one of them is."""
     once: dict[str, int] = {}
-    for t, y in zip(texts, grades):
-        once[t or ""] = max(once.get(t or "", 0), int(y))
-    n, pos = len(once), sum(y > 0 for y in once.values())
+    for t, y in zip(texts, labels):
+        once[t or ""] = max(once.get(t or "", 0), int(y > 0))
+    n, pos = len(once), sum(once.values())
     if not pos or pos == n:
         return Model()
     found = next(feature_counts(once.items(), 1 << 62))
@@ -128,10 +133,11 @@ def fit(texts: list[str], grades: list[int], max_features: int = MAX_FEATURES, l
 
 
 def fit_counts(rows: list[tuple[dict[str, int], int]], names: list[str], max_features: int = MAX_FEATURES, l1: float = L1, rounds: int = 60) -> Model:
-    """The ordinal model for the counts of the named features in each text, and its grade; names in the order of their gain."""
-    bags, n = [bag for bag, _ in rows], len(rows)
+    """The ordinal model for the counts of the named features in each text, and its label; names in the order of their gain."""
     if not names:
         return Model()
+    rows = sorted(rows, key=lambda r: (sorted(r[0].items()), r[1]))  # whatever order they come in
+    bags, n = [bag for bag, _ in rows], len(rows)
     held: dict[str, list] = {f: [] for f in names}
     for r, bag in enumerate(bags):
         for f, c in bag.items():
@@ -147,12 +153,11 @@ def fit_counts(rows: list[tuple[dict[str, int], int]], names: list[str], max_fea
         for f, c in bag.items():
             if f in at:
                 x[r, at[f]] = np.log1p(c)
-    grade = np.array([y for _, y in rows])
-    above = np.stack([grade >= k for k in range(1, GRADES)], 1).astype(np.float32)
+    above = np.array([[y] for _, y in rows], np.float32)
 
-    # Newton steps on both thresholds' losses at once; the L1 penalty is a ridge that is weighted anew each step
+    # Newton steps; the L1 penalty is a ridge that is weighted anew each step
     k = len(names)
-    w, theta = np.zeros(k), np.array([2.0, 3.0])
+    w, theta = np.zeros(k), np.array([2.0])
 
     def loss(w: np.ndarray, theta: np.ndarray) -> float:
         z = (x @ w)[:, None] - theta
@@ -164,7 +169,7 @@ def fit_counts(rows: list[tuple[dict[str, int], int]], names: list[str], max_fea
         d, h = p - above, p * (1 - p) + 1e-9
         pull = l1 / (np.abs(w) + 1e-2)
         grad = np.r_[x.T @ d.sum(1) + pull * w, -d.sum(0)]
-        hess = np.zeros((k + 2, k + 2))
+        hess = np.zeros((k + 1, k + 1))
         hess[:k, :k] = (x * h.sum(1).astype(np.float32)[:, None]).T @ x
         hess[:k, :k][np.diag_indices(k)] += pull
         hess[:k, k:] = -(x.T @ h)
@@ -176,18 +181,28 @@ def fit_counts(rows: list[tuple[dict[str, int], int]], names: list[str], max_fea
         if size <= 1e-3 or now - then < 1e-4:
             break
         w, theta, now = w - size * move[:k], theta - size * move[k:], then
-    theta = np.maximum.accumulate(theta)
-    return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, tuple(theta.tolist()))
+    model = Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3})
+    score = lambda bag: sum(model.weights[f] * float(np.log1p(c)) for f, c in sorted(bag.items()) if f in model.weights)
+    clean, toxic = [bag for bag, y in rows if not y], [bag for bag, y in rows if y]
+    mixed = []
+    for i, bag in enumerate(toxic):
+        mixed.append(Counter(bag))
+        for j in range(DILUTED):
+            mixed[-1].update(clean[(i * DILUTED + j) % len(clean)])
+    full, less = (np.array([score(b) for b in bags]) for bags in (toxic, [*clean, *mixed]))
+    lo, hi = float(theta[0]), float(theta[0]) + 40
+    for _ in range(60):  # the threshold at which as many texts are expected above it as are
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _sigmoid(full - mid).sum() + _sigmoid(less - mid).sum() > len(full) else (lo, mid)
+    model.thresholds = (float(theta[0]), lo)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", quality_col: str = "quality") -> Model:
-    """Fits on at most max_train labelled ids. Null ids and labels are left out; of several grades of an id or text the highest counts."""
+          label_col: str = "toxic") -> Model:
+    """Fits on at most max_train labelled ids. Null ids and labels are left out; of several labels of an id or text the highest counts."""
     spark = docs.sparkSession
-    bad = F.col(quality_col).cast("int") <= 0 if quality_col.lower() in {c.lower() for c in labels.columns} else F.lit(False)
-    label = F.col(label_col).cast("int")
-    grade = F.when(label <= 0, 0).when(label.isNotNull() & bad, 2).when(label.isNotNull(), 1)
-    own = labels.select(F.col(id_col).cast("long").alias("_i"), grade.alias("_y")).where("_i is not null and _y is not null")
+    own = labels.select(F.col(id_col).cast("long").alias("_i"), (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).where("_i is not null and _y is not null")
     own = own.groupBy("_i").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_i"), "_i").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(own), "_i")
     texts, path = materialize(texts.groupBy(F.xxhash64("_t").alias("_h")).agg(F.any_value("_t").alias("_t"), F.max("_y").alias("_y")), "labelled")

@@ -52,25 +52,25 @@ def test_tables_without_labels_or_rows(spark):
 def test_training_on_executors_equals_training_on_lists(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    rows = [(texts[r.doc_id], 0 if r.toxic <= 0 else 2 if r.quality is not None and r.quality <= 0 else 1) for r in labels.collect() if r.toxic is not None]
+    rows = [(texts[r.doc_id], r.toxic) for r in labels.collect() if r.toxic is not None]
     want, got = toxicity.fit([t for t, _ in rows], [y for _, y in rows]), toxicity.train(docs, labels)
     assert want.weights and set(want.weights) == set(got.weights)
     assert all(abs(w - got.weights[f]) < 1e-3 for f, w in want.weights.items()) and np.allclose(want.thresholds, got.thresholds, atol=1e-3)
 
 
-def test_severity_follows_the_grades_of_the_labels_and_the_share_of_toxic_text():
-    """Held out: higher grades of labels have higher mean severity, and a clean text gets worse with each toxic one put into it."""
-    table = {r["doc_id"]: r for r in pq.read_table(f"{DATA}/labels.parquet").to_pylist()}
-    rows = [(r["doc_id"], r["text"], table[r["doc_id"]]) for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist() if r["doc_id"] in table]
-    rows = [(t, 0 if not r["toxic"] else 2 if r["quality"] == 0 else 1) for _, t, r in rows if r["toxic"] is not None]
+def test_severity_follows_the_share_of_toxic_text():
+    """Held out: severity is low for clean texts, higher for toxic ones among clean ones, highest for toxic ones, and grows with each toxic text put to a clean one."""
+    rows = labelled()
     model = toxicity.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]])
     score = model.scorer()
 
     def severity(text):
         return float(model.at_least(np.array([score(text)])).sum())
 
-    mean = [np.mean([severity(t) for t, y in rows[1::2] if y == k]) for k in range(3)]
-    assert mean[0] < 0.1 and mean[1] > 0.8 and mean[2] > mean[0] + 0.5
-    clean, toxic = [t for t, y in rows[1::2] if y == 0][:60], [t for t, y in rows[1::2] if y > 0 and len(t) < 3000]
-    steps = np.mean([[severity(" ".join([c, *toxic[i : i + k]])) for k in range(4)] for i, c in enumerate(clean)], 0)
+    clean, toxic = [t for t, y in rows[1::2] if not y], [t for t, y in rows[1::2] if y]
+    diluted = [" ".join([t, *clean[3 * i : 3 * i + 3]]) for i, t in enumerate(toxic)]
+    mean = [np.mean([severity(t) for t in ts]) for ts in (clean, diluted, toxic)]
+    assert model.thresholds[0] <= model.thresholds[1] and mean[0] < 0.1 and mean[0] + 0.5 < mean[1] < mean[2]
+    short = [t for t in toxic if len(t) < 3000]
+    steps = np.mean([[severity(" ".join([c, *short[i : i + k]])) for k in range(4)] for i, c in enumerate(clean[:60])], 0)
     assert (np.diff(steps) > 0).all()
