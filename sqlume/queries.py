@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from sqlume import evals
 from sqlume.calls.providers import Ruled, Scripted
 from sqlume.operators import text
 from sqlume.session import Session
+from sqlume.sources.files import new_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _JSON = {"events": ("props",)}
@@ -227,6 +226,9 @@ _ORACLES: dict[str, str] = {
     "beam_top_k": "WITH b0 AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) AS s, CAST(0 AS BIGINT) AS d FROM nation WHERE n_nationkey < 3), "
     + ", ".join(f"b{i} AS (SELECT CAST(n_nationkey AS BIGINT) AS k, b.s + n_nationkey AS s, CAST({i} AS BIGINT) AS d FROM b{i - 1} b, nation ORDER BY 2 DESC, 1 DESC LIMIT 3)" for i in (1, 2, 3))
     + " SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3",
+    "explain_calls": "SELECT unnest(['plan [FO]: 2 calls, 825 tokens, $0.0030', '  Project (rows 6.25)', '    Project (rows 6.25)', "
+    "'      Filter ((#3 >= 0.6) OR ((#3 >= 0.4) AND long_name(#1))) [λ worker] (rows 6.25, calls 1, tokens 750, $0.0027)', '        Project [λ proxy] (rows 12.5, calls 1, tokens 75, $0.0003)', "
+    "'          Filter (#2 > 0) (rows 12.5)', '            Scan nation (rows ' || (SELECT count(*) FROM nation) || ')', 'rules: cascade']) AS plan",
     "max_rounds_cap": "SELECT unnest(generate_series(1, 6)) AS n",
     "memo_second_run": "SELECT 'relevant' AS function, false AS memo, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) AS n FROM nation UNION ALL SELECT 'relevant', true, CAST(ceil(COUNT(DISTINCT n_name) / 20.0) AS BIGINT) FROM nation",
 }
@@ -348,13 +350,13 @@ def delegation_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations written to files of a workspace and read as records."""
-    with tempfile.TemporaryDirectory() as top:  # records are read on the driver when the statement is planned
-        rows = [(r.n_nationkey, r.n_name) for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-        Path(top, "n.csv").write_text("key,name\r\n" + "".join(f'{k},"{n}"\r\n' for k, n in rows))
-        Path(top, "n.json").write_text("\n".join(json.dumps({"key": k, "name": n}) for k, n in rows))
-        s = Session(spark, workspace=top)
-        return s.sql("SELECT 'csv' AS kind, row AS line, json_extract_string(record, '$.key') AS k, json_extract_string(record, 'name') AS v FROM read_csv('n.csv') "
-                     "UNION ALL SELECT 'json', row, json_extract_string(record, '$.key'), json_extract_string(record, 'name') FROM read_json('n.json')")
+    top = new_folder(spark)  # records are read on the driver when the statement is planned
+    rows = [(r.n_nationkey, r.n_name) for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    (top / "n.csv").write_text("key,name\r\n" + "".join(f'{k},"{n}"\r\n' for k, n in rows))
+    (top / "n.json").write_text("\n".join(json.dumps({"key": k, "name": n}) for k, n in rows))
+    s = Session(spark, workspace=str(top))
+    return s.sql("SELECT 'csv' AS kind, row AS line, json_extract_string(record, '$.key') AS k, json_extract_string(record, 'name') AS v FROM read_csv('n.csv') "
+                 "UNION ALL SELECT 'json', row, json_extract_string(record, '$.key'), json_extract_string(record, 'name') FROM read_json('n.json')")
 
 
 def exact_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:

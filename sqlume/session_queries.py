@@ -3,31 +3,21 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
-from pathlib import Path
-from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlume import evals, output
 from sqlume.calls.providers import Reply, Ruled, Scripted
-from sqlume.operators.fixpoint import keep, shared_dir
+from sqlume.operators.fixpoint import keep
 from sqlume.queries import FUNCTIONS, RULES, call_session, html_oracle, tables
 from sqlume.session import Session
+from sqlume.sources.files import new_folder
 
 NATION_ROWS = "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey"
 
 
-def workspace(spark: SparkSession) -> Path:
-    """A folder for a session's files, which only the driver reads: below the shared folder where that is one of files."""
-    top = shared_dir(spark)
-    path = Path(top.removeprefix("file://"), f"workspace-{uuid.uuid4().hex}") if top.startswith("file:/") else Path(mkdtemp(prefix="sqlume-"))
-    path.mkdir(parents=True, exist_ok=True)
-    return path
-
-
 def nations(spark: SparkSession, sf_dir: str) -> list[tuple]:
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
     return [(r.n_nationkey, r.n_name, r.n_regionkey) for r in rows]
@@ -35,7 +25,7 @@ def nations(spark: SparkSession, sf_dir: str) -> list[tuple]:
 
 def session_on_files(spark: SparkSession, sf_dir: str) -> Session:
     """The nations in a workspace: one file of CSV, one of lines, one of JSON, and a folder of small files."""
-    top = workspace(spark)
+    top = new_folder(spark)
     rows = nations(spark, sf_dir)
     (top / "n.csv").write_text("key,name,region\n" + "".join(f'{k},"{n}",{r}\n' for k, n, r in rows))
     (top / "n.txt").write_text("".join(f"{n} in {r}\n" for _, n, r in rows))
@@ -234,7 +224,7 @@ def server_call_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of two kinds written from text and read as text."""
-    s = tables(Session(spark, workspace=str(workspace(spark))), sf_dir, ["nation"])
+    s = tables(Session(spark, workspace=str(new_folder(spark))), sf_dir, ["nation"])
     s.sql("CALL write_file(n_name || '.docx', '# ' || n_name || CHR(10) || CHR(10) || 'In **region** ' || CAST(n_regionkey AS TEXT)) FROM (SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey); "
           "CALL write_file(n_name || '.xlsx', n_name || ',' || CAST(n_regionkey AS TEXT)) FROM (SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey)")
     return s.sql("SELECT f.path, r.text FROM files('*.*') f CROSS JOIN LATERAL read(f.path) r")

@@ -36,4 +36,4 @@ def test_truth_values_of_calls_are_both(db):
 
 def test_every_query_has_sql_but_those_that_cannot():
     missing = {n for n in {**queries.QUERIES, **session_queries.QUERIES} if n not in {**queries.ORACLES, **session_queries.ORACLES}}
-    assert missing == {"explain_calls", "elo_ratings"}
+    assert missing == {"elo_ratings"}
