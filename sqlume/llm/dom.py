@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,7 +21,7 @@ _CLOSES = {
 }
 _P_SCOPE = frozenset("table td th caption button".split())
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|[!?/][^>]*+(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _NAMES = re.compile(r"[a-z]+")
 _ATTR_NAMES = frozenset(("class", "id", "role", "itemprop", "aria-label", "data-testid"))
 
@@ -43,7 +44,7 @@ def parse(html: str | None) -> Node:
     """The tree of a page's blocks. Every text parses; what is no markup is text. Nesting does not recurse."""
     html = html or ""
     root = Node("#root", frozenset(), None)
-    stack: list[tuple[str, Node]] = [("#root", root)]  # open elements and the block that each lies in or is
+    stack = Open(root)
     block, link, dropped, at = root, 0, 0, 0
     search = _TAG.search
     while True:
@@ -68,15 +69,9 @@ def parse(html: str | None) -> Node:
                 if tag == "br":
                     block.parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                own = stack[k][0]
-                if own == tag:
-                    del stack[k:]
-                    break
-                if own in BLOCK and tag not in BLOCK and tag not in DROPPED:
-                    break
-            else:
+            if not stack.count[tag]:
                 continue
+            stack.close({tag}, frozenset() if tag in BLOCK or tag in DROPPED else BLOCK)
         else:
             if tag in VOID:
                 if tag == "br":
@@ -92,17 +87,17 @@ def parse(html: str | None) -> Node:
                     at = at + 1 if at >= 0 else len(html)
                 block.parts.append(" ") if tag not in ("script", "style") else None
                 continue
-            if m[3].endswith("/>") and any(t in ("svg", "math") for t in (tag, *(t for t, _ in stack))):
+            if m[3].endswith("/>") and (tag in ("svg", "math") or stack.count["svg"] or stack.count["math"]):
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            if tag in ("html", "body") and stack.count[tag]:
                 continue
-            if tag in BLOCK and any(t == "head" for t, _ in stack[1:3]):
-                _pop(stack, {"head"}, frozenset())
+            if tag in BLOCK and stack.count["head"]:
+                stack.close({"head"}, frozenset())
             if tag in _CLOSES:
-                _pop(stack, *_CLOSES[tag])
+                stack.close(*_CLOSES[tag])
             if tag in _ENDS_P:
-                _pop(stack, {"p"}, _P_SCOPE)
-            block = stack[-1][1]
+                stack.close({"p"}, _P_SCOPE)
+            block = stack.blocks[-1]
             if tag in BLOCK:
                 tokens, mark = frozenset(), ""
                 if len(m[3]) > 4:
@@ -118,27 +113,41 @@ def parse(html: str | None) -> Node:
                 if tag == "xmp":  # what it holds is text, whatever it looks like
                     close = re.compile(r"</xmp[\s/>]", re.I).search(html, at)
                     end = close.start() if close else len(html)
-                    if not any(t in DROPPED for t, _ in stack):
+                    if not stack.dropped:
                         child.parts.append(html[at:end])
                     at = html.find(">", end) + 1 if close else len(html)
                     at = at or len(html)
                     continue
-                stack.append((tag, child))
+                stack.push(tag, child)
             else:
-                stack.append((tag, block))
-        block = stack[-1][1]
-        link = sum(t == "a" for t, _ in stack)
-        dropped = sum(t in DROPPED for t, _ in stack)
+                stack.push(tag, block)
+        block, link, dropped = stack.blocks[-1], stack.count["a"], stack.dropped
 
 
-def _pop(stack: list, tags: set[str] | frozenset[str], keep: set[str] | frozenset[str]) -> None:
-    """Close the innermost of the tags, unless one that keeps it open comes first."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in keep:
+class Open:
+    """The open elements, the block that each lies in or is, and how many there are of each, so that depth costs nothing."""
+
+    def __init__(self, root: Node) -> None:
+        self.tags, self.blocks, self.count, self.dropped = ["#root"], [root], Counter(), 0
+
+    def push(self, tag: str, block: Node) -> None:
+        self.tags.append(tag), self.blocks.append(block)
+        self.count[tag] += 1
+        self.dropped += tag in DROPPED
+
+    def close(self, tags: set[str] | frozenset[str], keep: set[str] | frozenset[str]) -> None:
+        """Close the innermost of the tags and all in it, unless one that keeps it open comes first."""
+        if not any(self.count[t] for t in tags):
             return
+        k = len(self.tags) - 1
+        while self.tags[k] not in tags:
+            if self.tags[k] in keep:
+                return
+            k -= 1
+        for tag in self.tags[k:]:
+            self.count[tag] -= 1
+            self.dropped -= tag in DROPPED
+        del self.tags[k:], self.blocks[k:]
 
 
 def squeeze(text: str) -> str:

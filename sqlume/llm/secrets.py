@@ -58,7 +58,7 @@ _KEY_HINT = re.compile("passw|secret|token|api|credential|passphrase|bearer|auth
 _PROSE = re.compile("([A-ZÀ-ÖØ-Þ]?)([a-zß-öø-ÿ]{1,27})[.,;:!?]?\\Z")
 _CAPITALS, _LETTERS, _DIGITS = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[^\\W\\dA]+"), re.compile(r"\d+")
 _SIGNS, _AGAIN = re.compile("[^Aa0]+"), re.compile("(.{1,3}?)\\1+")
-_URL_LOGIN = re.compile(r"[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s@]{3,}@")
+_URL_LOGIN = re.compile(r"(?<=[a-z0-9+.-])://[^/\s:@]++:[^/\s@]{3,}+@")
 _DIGIT = re.compile(r"\d")
 #: A change between digits, capitals and the rest.
 _TURN = re.compile(r"(?<=\d)(?=\D)|(?<=[^\W\d])(?=\d)|(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])|(?<=[A-ZÀ-ÖØ-Þ])(?=[a-zß-öø-ÿ])")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from sqlume.llm import dom, extract
 
@@ -83,3 +84,12 @@ def test_text_of_embedded_elements_is_kept_and_unlisted_tokens_count():
     _, _, a = extract.blocks_of(dom.parse("<div class='zzunseen'>x</div>"))
     _, _, b = extract.blocks_of(dom.parse("<div>x</div>"))
     assert (a != b).any()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</p>" * 20_000, "<b>" * 30_000 + "x", "<a '\">" * 20_000, "<div " + "a" * 100_000 + ">x", "<li>" * 20_000, "<path/>" * 20_000])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    extract.main_text(page, extract.trained())
+    assert time.time() - began < 15  # seconds; the square of the length would take minutes

@@ -113,3 +113,13 @@ def test_redaction_leaves_no_part_of_a_secret(spark):
 def test_the_end_of_a_long_token_counts():
     head = "a" * 300
     assert secrets.token_features(head + "aaaaaaaaaaaa")[0] != secrets.token_features(head + "X9$kQ2!mZ7w")[0]
+
+
+def test_features_of_very_long_tokens_take_linear_time():
+    import time
+
+    began = time.time()
+    for tok in ("x" * 200_000, "abc." * 50_000, "a://b:c" * 30_000, "password=" * 20_000):
+        secrets.token_features(tok)
+        secrets.base_spans(tok)
+    assert time.time() - began < 15
