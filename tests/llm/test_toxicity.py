@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pyarrow.parquet as pq
 
@@ -7,14 +9,21 @@ SCHEMA = "doc_id long, text string, grade string, toxic int"
 DATA = "/root/testdata/sf0.1"
 
 
+@functools.cache
 def labelled():
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()}
     return [(texts[r["doc_id"]], r["toxic"]) for r in pq.read_table(f"{DATA}/labels.parquet").to_pylist() if r["toxic"] is not None]
 
 
-def test_held_out_accuracy():
+@functools.cache
+def half():
+    """The model of every other labelled text."""
     rows = labelled()
-    model = toxicity.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]])
+    return toxicity.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]])
+
+
+def test_held_out_accuracy():
+    rows, model = labelled(), half()
     seen = {t for t, _ in rows[::2]}
     rest = [(t, y) for t, y in rows[1::2] if t not in seen]
     p = model.at_least(np.array([model.scorer()(t) for t, _ in rest]))
@@ -60,8 +69,7 @@ def test_training_on_executors_equals_training_on_lists(spark):
 
 def test_severity_follows_the_share_of_toxic_text():
     """Held out: severity is low for clean texts, higher for toxic ones among clean ones, highest for toxic ones, and grows with each toxic text put to a clean one."""
-    rows = labelled()
-    model = toxicity.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]])
+    rows, model = labelled(), half()
     score = model.scorer()
 
     def severity(text):
