@@ -113,7 +113,7 @@ class Harness:
     """Runs tasks on a store. solver(run, task) works through run.turn() until it has given a FINAL."""
 
     def __init__(self, spark: SparkSession, store: Store | None = None, **options) -> None:
-        self.spark, self.store, self.options = spark, store or Store(spark), options
+        self.spark, self.store, self.options = spark, store or Store(spark), {"memo": {}} | options  # runs share what calls have answered
 
     def run(self, task: str, solver: Callable[[Run, str], None], context: str | None = None, check: str | None = None, conversation: str | None = None, load: dict[str, str] | None = None) -> Outcome:
         session = Session(self.spark, task=task, **self.options)

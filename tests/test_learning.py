@@ -107,6 +107,8 @@ def test_runs_turns_memory_conversations_and_checks(spark, tmp_path):
     assert [tuple(r) for r in h.memory().collect()] == [("k", "w")] and store.table("memory").count() == 2
     assert h.run("stop", lambda run, task: None).outcome == "turns_exhausted"
     assert h.run("fail", lambda run, task: 1 / 0).outcome == "error"
+    asked = [h.run("ask", lambda run, task: run.turn("SELECT llm('same') AS a")) and h.last.budget.used_calls for _ in range(2)]
+    assert asked == [1, 0]
     poor = Harness(spark, store, provider=Scripted(default="x"), budget=Budget(calls=0))
     assert poor.run("ask", lambda run, task: run.turn("SELECT llm('q') AS a")).outcome == "budget_exhausted"
     said = [(r.n, r.role) for r in store.table("conversations").where("conversation = 'c1'").orderBy("n").collect()]
