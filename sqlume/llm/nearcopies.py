@@ -179,9 +179,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(bucket_linker(MAX_DISTANCE, COMPARED), "a long, b long")
 
 
-def _dealt(docs: DataFrame, text_col: str, places: DataFrame, names: tuple[str, ...], rows_of: Callable) -> DataFrame:
+def _dealt(docs: DataFrame, text_col: str, places: DataFrame, names: tuple[str, ...], rows_of: Callable, paths: list[str]) -> DataFrame:
     """(cluster, square, c, role, grp, own): the sets of the rows at places, once for each (square, role, grp) that rows_of(c, *values) lists."""
     listed = write_places(places, names)
+    paths.append(listed.folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader().words
@@ -259,7 +260,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame,
         is_hub = F.col("c").isin(*[F.col(f"h{k}") for k in range(HUBS)]).cast("long").alias("hub")
         big = cut(members.join(sizes, "cluster").select("cluster", "c", "file", "pos", "n", "g", is_hub), "big")
         places = places.join(sizes, "cluster", "left_anti").unionByName(big.select("file", "pos", "cluster", "g", "hub"))
-    first = _dealt(docs, text_col, places, ("cluster", "g", "hub"), lambda c, cluster, g, hub: [(s, 3, c) for s in (range(g) if hub else [c % g])])
+    first = _dealt(docs, text_col, places, ("cluster", "g", "hub"), lambda c, cluster, g, hub: [(s, 3, c) for s in (range(g) if hub else [c % g])], paths)
     found = cut(_verified(first), "near")
     if some:
         tied = groups(found.join(big.select(F.col("c").alias("a")), "a", "left_semi"), "grp")
@@ -276,7 +277,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame,
             return out + [(own * g + o, 3 if o == mine else 1, grp) for o in range(g)] if asks else out
 
         if not big.isEmpty():
-            found = found.union(cut(_verified(_dealt(docs, text_col, places, ("cluster", "g", "k", "grp", "asks"), squares)), "near"))
+            found = found.union(cut(_verified(_dealt(docs, text_col, places, ("cluster", "g", "k", "grp", "asks"), squares, paths)), "near"))
     return found, paths
 
 
