@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     own = labels.select(F.col(id_col).cast("long").alias("_i"), (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).where("_i is not null and _y is not null")
     own = own.groupBy("_i").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_i"), "_i").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(own), "_i")
-    texts, path = materialize(texts.groupBy(F.xxhash64("_t").alias("_h")).agg(F.any_value("_t").alias("_t"), F.max("_y").alias("_y")), "labelled")
+    texts = texts.groupBy(F.xxhash64("_t").alias("_h")).agg(F.any_value("_t").alias("_t"), F.max("_y").alias("_y"))
+    texts, path = materialize(texts.repartition(-(-max_train // 400)), "labelled")  # few bytes, but each is read twice for many features
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = ((t.as_py(), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1)))
