@@ -11,6 +11,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sqlume.algebra import calibrate, cost, explain, rules
 from sqlume.calls.budget import Budget
@@ -33,6 +34,8 @@ _IDS = itertools.count()
 SETTINGS = ("effort", "model.default", "max_tokens", "memo", "cache_prefix", "max_recursion_rounds", "budget.calls", "budget.tokens", "budget.dollars", "budget.depth")
 
 
+#: Bytes of arguments and results of a CALL that stay on the driver before they go to a table, with their trace.
+HELD_BYTES = 16 << 20
 #: Folders of inserted rows are told apart, and ordered, by this key.
 INSERT = "sqlume_insert"
 
@@ -577,10 +580,45 @@ class Session:
         source = s.source.body if s.source is not None else None
         items = tuple((a, f"a{i}") for i, a in enumerate(s.args))
         q = ast.Query(ast.Select(items, ast.Derived(s.source, "q") if source is not None else None))
+        if s.tool == "web_fetch" and s.tool not in self.servers and hasattr(self.web, "fetch_all"):
+            return self._fetch_all(self.query(q))
+        schema = ", ".join(f"`{n}` {spark_type(t)}" for n, t in columns)
         rows: list[tuple] = []
+        parts: list[DataFrame] = []
+        held = made = 0
         for r in self.query(q).toLocalIterator():  # in row order, one at a time
-            rows += self._tool(s.tool, list(r))
-        return self.spark.createDataFrame(rows, ", ".join(f"`{n}` {spark_type(t)}" for n, t in columns))
+            new = self._tool(s.tool, list(r))
+            rows += new
+            held += sum(map(tools.row_bytes, [r, *new]))
+            if held > HELD_BYTES:
+                parts.append(self._kept_rows(rows, schema, made))
+                self.trace["tool_calls"].spill(self.spark, 0)
+                made, rows, held = made + len(rows), [], 0
+        if not parts:
+            return self.spark.createDataFrame(rows, schema)
+        whole = self._kept_rows(rows, schema, made)
+        for part in parts:
+            whole = whole.union(part)
+        return whole.orderBy("_at").drop("_at")
+
+    def _kept_rows(self, rows: list[tuple], schema: str, first: int) -> DataFrame:
+        """Rows as a table in the shared folder, numbered from first."""
+        return loops.keep(self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], f"_at long, {schema}"), "called")
+
+    def _fetch_all(self, urls: DataFrame) -> DataFrame:
+        """web_fetch of each row where the pages are a table: the executors make the rows, once, and their trace."""
+        urls = loops.keep(urls.toDF("url").select(F.monotonically_increasing_id().alias("at"), F.col("url").cast("string")), "urls")  # numbered in row order
+        statement = getattr(self, "statement", "")
+        refused = tools.refused_urls(self.web, urls).orderBy("at").first()
+        if refused is not None:
+            self.trace["tool_calls"].append({"statement": statement, "tool": "web_fetch", "args": json.dumps([refused.url], ensure_ascii=False), "bytes_out": 0, "elapsed_ms": 0, "error": refused.error})
+            raise SqlError(refused.error)
+        made = loops.keep(tools.fetched_pages(self.web, urls), "fetched")
+        self.trace["tool_calls"].frames.append(made.select(F.lit(statement).alias("statement"), F.lit("web_fetch").alias("tool"), "args", "bytes_out", "elapsed_ms", "error"))
+        missing = made.where("error IS NOT NULL").orderBy("at").select("error").first()
+        if missing is not None:
+            raise SqlError(missing.error)
+        return made.orderBy("at").select("url", "status", "text", "tokens")
 
     def _tool(self, name: str, args: list) -> list[tuple]:
         """The rows of one call of a tool, traced."""
@@ -599,7 +637,7 @@ class Session:
             error = str(e)
             raise
         finally:
-            self.trace["tool_calls"].append({"statement": getattr(self, "statement", ""), "tool": name, "args": json.dumps(args, ensure_ascii=False), "bytes_out": sum(len(str(v).encode("utf-8", "replace")) for r in rows for v in r), "elapsed_ms": int(1000 * (time.time() - began)), "error": error})
+            self.trace["tool_calls"].append({"statement": getattr(self, "statement", ""), "tool": name, "args": json.dumps(args, ensure_ascii=False), "bytes_out": sum(map(tools.row_bytes, rows)), "elapsed_ms": int(1000 * (time.time() - began)), "error": error})
 
     def _send(self, to: str, text: str) -> bool:
         """Mail to the parent or to a child by its handle; without a parent to this session itself."""

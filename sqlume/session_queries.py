@@ -171,29 +171,33 @@ def calls_by_executors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Library:
-    """The given pages as the web: a page's number is its URL's last part."""
+    """A table of pages (url, html) as the web; pages are read whole."""
 
-    hosts = ("pages.example",)
+    hosts, max_body = ("pages.example",), None
 
-    def __init__(self, pages: dict[str, str]) -> None:
+    def __init__(self, pages: DataFrame) -> None:
         self.pages = pages
 
     def fetch(self, url: str) -> tuple[int, str, bytes]:
-        return 200, "text/html", self.pages[url].encode()
+        return 200, "text/html", self.pages.where(F.col("url") == url).select(F.max("html").cast("binary")).first()[0]
+
+    def fetch_all(self, urls: DataFrame) -> DataFrame:
+        pages = self.pages.groupBy("url").agg(F.max("html").cast("binary").alias("body"))  # one for a URL that is there more than once
+        return urls.join(pages.withColumns({"status": F.lit(200), "kind": F.lit("text/html")}), "url", "left")
 
     def search(self, query: str, n: int) -> list[tuple[str, str, str]]:
-        return [(f"{query} {k}", url, "found") for k, url in enumerate(sorted(self.pages)[:n])]
+        return [(f"{query} {k}", r.url, "found") for k, r in enumerate(self.pages.select("url").distinct().orderBy("url").limit(n).collect())]
 
 
 def web_fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").toLocalIterator()
-    s = Session(spark, web=Library({f"https://pages.example/{r.page_id}": r.html for r in rows}))
-    s.register("urls", spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("concat('https://pages.example/', page_id) AS url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("concat('https://pages.example/', page_id) AS url", "html")
+    s = Session(spark, web=Library(pages))
+    s.register("urls", pages.select("url"))
     return s.sql("CALL web_fetch(url) FROM (SELECT url FROM urls ORDER BY url)")
 
 
 def web_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Session(spark, web=Library({f"https://pages.example/{n}": "" for _, n, _ in nations(spark, sf_dir)}))
+    s = Session(spark, web=Library(spark.createDataFrame([(f"https://pages.example/{n}", "") for _, n, _ in nations(spark, sf_dir)], "url string, html string")))
     return s.sql("CALL web_search('query', 7)")
 
 

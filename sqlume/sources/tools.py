@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import subprocess
 import time
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 from urllib.parse import urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from sqlume.errors import SqlError
 from sqlume.operators.text import BLOCKS
 from sqlume.sources import convert
@@ -30,7 +35,12 @@ MAX_BODY, DEFAULT_HITS, MAX_HITS = 200 << 10, 10, 20
 
 
 class Web(Protocol):
-    """The web as a session sees it: hosts it may read from, pages, and a search service."""
+    """The web as a session sees it: hosts it may read from, pages, and a search service.
+
+    One whose pages are a table may also have ``fetch_all(urls)``: to a table of calls (at, url) it adds status, kind and
+    body (binary) of each, a null status where there is no page. Executors then make the rows, and none passes through
+    the driver. ``max_body`` is the number of bytes of a body that are read, MAX_BODY where it is not given, None for all.
+    """
 
     hosts: tuple[str, ...]
 
@@ -58,14 +68,65 @@ def web(own: Web | None, name: str, args: list) -> list[tuple]:
         if n < 1:
             raise SqlError(f"web_search: n must be positive, got {n}")
         return [(i, *hit) for i, hit in enumerate(own.search(args[0], min(n, MAX_HITS))[: min(n, MAX_HITS)], 1)]
-    parts = urlsplit(args[0])
+    if refused := refusal(own.hosts, args[0]):
+        raise SqlError(refused)
+    return [page_row(args[0], *own.fetch(args[0]), getattr(own, "max_body", MAX_BODY))]
+
+
+def refusal(hosts: Iterable[str], url: str | None) -> str | None:
+    """Why web_fetch may not read a URL."""
+    parts = urlsplit(url)
     host = (parts.hostname or "").lower()
-    if parts.scheme not in ("http", "https") or not any(host == h or host.endswith(f".{h}") for h in own.hosts):
-        raise SqlError(f"web_fetch: {host or args[0]} is not on the list of hosts")
-    status, kind, body = own.fetch(args[0])
-    text = body[:MAX_BODY].decode("utf-8", "replace")
+    if parts.scheme not in ("http", "https") or not any(host == h or host.endswith(f".{h}") for h in hosts):
+        return f"web_fetch: {host or url} is not on the list of hosts"
+    return None
+
+
+def page_row(url: str, status: int, kind: str, body: bytes | None, most: int | None) -> tuple:
+    """web_fetch's row for a page; one without a body has no text."""
+    if body is None:
+        return url, status, None, None
+    text = body[:most].decode("utf-8", "replace")
     text = page_text(text) if "html" in kind or text.lstrip()[:1] == "<" else text
-    return [(args[0], status, text, -(-len(text) // 4))]
+    return url, status, text, -(-len(text) // 4)
+
+
+def refused_urls(own: Web, urls: DataFrame) -> DataFrame:
+    """Of calls (at, url) those that web_fetch may not make: at, url and why."""
+    hosts = tuple(own.hosts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(at, url, why) for at, url in zip(b["at"].to_pylist(), b["url"].to_pylist()) if (why := refusal(hosts, url))]
+            yield _batch(rows, {"at": pa.int64(), "url": pa.string(), "error": pa.string()})
+
+    return urls.select("at", "url").mapInArrow(run, "at long, url string, error string")
+
+
+def fetched_pages(own: Web, urls: DataFrame) -> DataFrame:
+    """web_fetch's rows for calls (at, url), made by executors, each with what the trace says of it."""
+    most = getattr(own, "max_body", MAX_BODY)
+    types = {"at": pa.int64(), "url": pa.string(), "status": pa.int64(), "text": pa.string(), "tokens": pa.int64(), "args": pa.string(), "bytes_out": pa.int64(), "elapsed_ms": pa.int64(), "error": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for at, url, status, kind, body in zip(*[b[c].to_pylist() for c in ("at", "url", "status", "kind", "body")]):
+                began, error = time.time(), None if status is not None else f"web_fetch: there is no page {url}"
+                row = (url, None, None, None) if error else page_row(url, status, kind, body, most)
+                rows.append((at, *row, json.dumps([url], ensure_ascii=False), 0 if error else row_bytes(row), int(1000 * (time.time() - began)), error))
+            yield _batch(rows, types)
+
+    found = own.fetch_all(urls).selectExpr("at", "url", "CAST(status AS long) AS status", "kind", "body")
+    return found.mapInArrow(run, "at long, url string, status long, text string, tokens long, args string, bytes_out long, elapsed_ms long, error string")
+
+
+def row_bytes(row: tuple) -> int:
+    return sum(len(str(v).encode("utf-8", "replace")) for v in row)
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
 
 def page_text(html: str) -> str:

@@ -44,8 +44,9 @@ class Log(list):
         if len(self) > (KEPT_ROWS if most is None else most):
             with self.lock:
                 self.path = self.path or f"{shared_dir(spark)}/trace-{self.name}-{uuid.uuid4().hex}"
-                spark.createDataFrame(self._rows(), self.schema).coalesce(1).write.mode("append").parquet(self.path)
-                self.clear()
+                rows = self._rows()
+                spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+                del self[: len(rows)]  # others may have come meanwhile
 
     def frame(self, spark: SparkSession) -> DataFrame:
         here = spark.createDataFrame(self._rows(), self.schema)
