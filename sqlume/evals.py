@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,13 @@ def covers(answer: str, terms: Iterable[str], share: float = 0.5) -> bool:
 # ratings
 
 
+#: Attempts after which a rating moves by no more than this.
+SETTLED, LEAST = 30, 16.0
+
+
 def step(attempts: int) -> float:
     """How far a rating moves: less with each stage of attempts."""
-    return 48.0 if attempts < 10 else 32.0 if attempts < 30 else 16.0
+    return 48.0 if attempts < 10 else 32.0 if attempts < SETTLED else LEAST
 
 
 def expected(solver: float, task: float) -> float:
@@ -66,23 +72,66 @@ def ratings(attempts: DataFrame, solver: str = "solver", task: str = "task", ord
     """Ratings (kind, name, rating, attempts) after a sequence of attempts in which solver and task meet.
 
     A rating depends on all before it, so the fold is sequential; independent streams are kept apart by the column
-    ``pack``, where there is one, and folded side by side.
+    ``pack``, where there is one, and folded side by side. The attempts are sorted over many tasks (ties by solver, task
+    and outcome) and packed into compressed blocks; the task that folds a pack sorts and reads blocks only, and holds
+    the ratings.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        r: dict[tuple[str, str], list] = {}
-        for s, t, ok in rows.sort_values(order)[[solver, task, solved]].itertuples(index=False):
-            a, b = r.setdefault(("solver", s), [start, 0]), r.setdefault(("task", t), [start, 0])
-            gap = float(bool(ok)) - expected(a[0], b[0])
-            ka, kb = step(a[1]), step(b[1])
-            a[0], b[0] = a[0] + ka * gap, b[0] - kb * gap
-            a[1], b[1] = a[1] + 1, b[1] + 1
-        return pd.DataFrame([(rows["pack"].iloc[0], k, n, v[0], v[1]) for (k, n), v in sorted(r.items())], columns=["pack", "kind", "name", "rating", "attempts"])
-
     if "pack" not in attempts.columns:
         attempts = attempts.withColumn("pack", F.lit(""))
-    return attempts.select("pack", solver, task, order, solved).groupBy("pack").applyInPandas(fold, "pack string, kind string, name string, rating double, attempts long")
+    n = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("pack"), F.col(order).asc_nulls_last(), F.col(solver), F.col(task), F.col(solved)]
+    dealt = attempts.select("pack", order, solver, task, solved).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(
+        "pack", F.spark_partition_id().alias("part"), F.col(solver).cast("string").alias("solver"), F.col(task).cast("string").alias("task"), F.coalesce(F.col(solved).cast("boolean"), F.lit(False)).alias("solved"))
+    blocks = dealt.selectExpr("CAST(pack AS STRING) AS pack", "part", "solver", "task", "solved").mapInArrow(_blocks, "pack string, part int, at long, attempts binary")
+    return blocks.repartition(n, "pack").sortWithinPartitions("pack", "part", "at").mapInArrow(_folds(start), "pack string, kind string, name string, rating double, attempts long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a pack's attempts (pack, part, solver, task, solved), in order, as compressed blocks: a row for each (pack, part, at, attempts)."""
+    at = 0
+    for b in batches:
+        ends = pc.run_end_encode(b["pack"]).run_ends.to_pylist() if b.num_rows else []
+        rows = []
+        for i, j in zip([0, *ends], ends):
+            run = pa.RecordBatch.from_arrays([b["solver"].slice(i, j - i).dictionary_encode("encode"), b["task"].slice(i, j - i).dictionary_encode("encode"), b["solved"].slice(i, j - i)], ["solver", "task", "solved"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(run)
+            rows.append((b["pack"][i].as_py(), b["part"][i].as_py(), at, out.getvalue().to_pybytes()))
+            at += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["pack", "part", "at", "attempts"])
+
+
+def _folds(start: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ratings of each pack from its blocks in order."""
+
+    def ended(pack: str | None, rated: tuple[dict, dict]) -> Iterator[pa.RecordBatch]:
+        rows = [(pack, kind, name, *v) for kind, of in zip(("solver", "task"), rated) for name, v in sorted(of.items(), key=lambda x: (x[0] is not None, x[0] or ""))]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10_000]], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()))], ["pack", "kind", "name", "rating", "attempts"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, rated = None, ({}, {})
+        for batch in batches:
+            for now, block in zip(batch["pack"], batch["attempts"]):
+                now = now.as_py()
+                if now != pack:
+                    yield from ended(pack, rated)
+                    pack, rated = now, ({}, {})
+                *named, solved = pa.ipc.open_stream(block.as_buffer()).read_next_batch().columns
+                held = [[of.setdefault(name, [start, 0]) for name in c.dictionary.to_pylist()] for of, c in zip(rated, named)]
+                won = solved.cast(pa.int8()).to_numpy().tolist()
+                for a, b, ok in zip(*(map(h.__getitem__, c.indices.to_numpy().tolist()) for h, c in zip(held, named)), won):
+                    x, i = a
+                    y, j = b
+                    gap = ok - 1 / (1 + 10 ** ((y - x) / 400))  # expected(), without a call for each attempt
+                    a[0] = x + (LEAST if i >= SETTLED else step(i)) * gap
+                    b[0] = y - (LEAST if j >= SETTLED else step(j)) * gap
+                    a[1] = i + 1
+                    b[1] = j + 1
+        yield from ended(pack, rated)
+
+    return fold
 
 
 def pick(tasks: DataFrame, solver_rating: float) -> DataFrame:
